@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightloom.llm import chat_format, exact_dedup, warc
-from sightloom.llm.common import table
+from sightloom.llm import bpe, chat_format, exact_dedup, mixing, warc
+from sightloom.llm.common import table, tokenizer_path
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_shares(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold another template's control strings.
 PROBE = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
 
@@ -25,7 +33,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(spark.sql(PROBE))))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_warc, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_warc, op7_bpe, op8_mixing, op9_chat_format)}
 
 SQL = {
     "op4_exact_dedup": """
