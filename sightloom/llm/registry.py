@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightloom.llm import bpe, chat_format, exact_dedup, mixing, quality, toxicity, warc
+from sightloom.llm import bpe, chat_format, exact_dedup, mixing, pii, quality, toxicity, warc
 from sightloom.llm.common import table, tokenizer_path
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.reported(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +45,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(spark.sql(PROBE))))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_exact_dedup, op5_quality, op6_warc, op7_bpe, op8_mixing, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op4_exact_dedup, op5_quality, op6_warc, op7_bpe, op8_mixing, op9_chat_format)}
 
 SQL = {
     "op4_exact_dedup": """
