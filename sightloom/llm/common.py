@@ -42,6 +42,26 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Stashes:
+    """Tables of an iteration: each goes when the rounds that read it are over."""
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark, self.tag, self.paths = spark, tag, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """The rows of df, written; what had this name before goes, so df may have read it."""
+        path = new_path(self.spark, f"{self.tag}-{name}")
+        df.write.parquet(path)
+        if name in self.paths:
+            drop_path(self.spark, self.paths[name])
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names or tuple(self.paths):
+            drop_path(self.spark, self.paths.pop(name))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

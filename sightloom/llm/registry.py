@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightloom.llm import bpe, chat_format, exact_dedup, mixing, pii, quality, toxicity, warc
+from sightloom.llm import bpe, chat_format, exact_dedup, jaccard, mixing, pii, quality, toxicity, warc
 from sightloom.llm.common import table, tokenizer_path
 
 
@@ -16,6 +16,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(spark.sql(PROBE))))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op4_exact_dedup, op5_quality, op6_warc, op7_bpe, op8_mixing, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_jaccard_join, op4_exact_dedup, op5_quality, op6_warc, op7_bpe, op8_mixing, op9_chat_format)}
 
 SQL = {
     "op4_exact_dedup": """
