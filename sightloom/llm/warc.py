@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightloom.llm.common import new_path, stash, whole
+from sightloom.llm.common import Stashes, new_path, stash, whole
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -128,6 +128,9 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     line (nothing, in a sound file); offsets of splits after the first come from the sizes of those before.
     """
     found = stash(_split(spark, path).mapInPandas(_candidates, CANDIDATE), "warc-candidates")
+    # Paths are long, and every round would move them: files get numbers.
+    files = stash(found.select("file").distinct().select(F.col("file").alias("path"), F.monotonically_increasing_id().alias("number")), "warc-files")
+    found = found.join(files, F.col("file") == F.col("path")).drop("file").withColumnRenamed("number", "file")
     sizes = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(VERSION)).alias("total"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
@@ -140,40 +143,40 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def reachable(links: DataFrame) -> DataFrame:
     """file, off of the records that the chain from offset 0 of each file reaches. links: file, off, next."""
-    jumps = stash(links.filter("next is not null and off >= 0").select("file", "off", "next"), "warc-jumps")
-    reached = jumps.filter("off = 0").select("file", "off")
+    tables = Stashes(links.sparkSession, "warc")
+    nodes = links.filter("next is not null and off >= 0").select("file", "off", "next")
+    # A pointer to an offset at which no candidate stands (the file's end, in a sound file) leads nowhere: null.
+    there = nodes.select("file", F.col("off").alias("next"), F.lit(True).alias("there"))
+    jumps = tables.put("jumps", nodes.join(there, ["file", "next"], "left").select("file", "off", F.when(F.col("there"), F.col("next")).alias("next")))
+    reached = tables.put("reached", jumps.filter("off = 0").select("file", "off"))
     most = jumps.groupBy("file").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    for _ in range(math.ceil(math.log2(max(1, most)))):
-        ahead = reached.join(jumps, ["file", "off"]).select("file", F.col("next").alias("off"))
-        # Only offsets at which a candidate stands count; a chain may run into none.
-        ahead = ahead.join(jumps.select("file", "off"), ["file", "off"], "left_semi")
-        reached = stash(reached.unionByName(ahead).distinct(), "warc-reached")
-        far = jumps.select("file", F.col("off").alias("next"), F.col("next").alias("then"))
-        jumps = stash(jumps.join(far, ["file", "next"], "left").select("file", "off", F.coalesce("then", F.lit(None).cast("long")).alias("next")).filter("next is not null").unionByName(_ends(jumps)), "warc-jumps")
+    rounds = math.ceil(math.log2(max(1, most)))
+    for k in range(rounds):
+        ahead = reached.join(jumps.filter("next is not null"), ["file", "off"]).select("file", F.col("next").alias("off"))
+        # Pointers of 2 ** k records from what 2 ** k - 1 steps reach lead to records not reached before.
+        reached = tables.put("reached", reached.unionByName(ahead))
+        if k < rounds - 1:
+            far = jumps.select("file", F.col("off").alias("next"), F.col("next").alias("then"))
+            jumps = tables.put("jumps", jumps.filter("next is not null").join(far, ["file", "next"]).select("file", "off", F.col("then").alias("next")))
+    tables.drop("jumps")
     return reached
 
 
-def _ends(jumps: DataFrame) -> DataFrame:
-    """Candidates whose pointer left the file stay as places to arrive at."""
-    starts = jumps.select("file", F.col("off").alias("next"))
-    gone = jumps.join(starts, ["file", "next"], "left_anti")
-    return gone.select("file", "off", F.lit(-1).cast("long").alias("next"))
-
-
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """file, off, kind, id, url, digest, refers_to and payload (binary) of each record below path."""
     found = stash(candidates(spark, path), "warc-offsets")
     good = reachable(found).withColumn("good", F.lit(True))
     w = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
     marked = found.join(good, ["file", "off"], "left").withColumn("owner", F.last(F.when(F.col("good"), F.col("off")), ignorenulls=True).over(w))
-    owned = stash(marked.filter("owner is not null").drop("base", "next", "size"), "warc-owned")
+    owned = stash(marked.filter("owner is not null").drop("base", "next", "size", "good"), "warc-owned")
     heads = owned.filter("off = owner")
     split = heads.join(owned.filter("off > owner").select("file", "owner").distinct(), ["file", "owner"], "left_semi").select("file", "owner").withColumn("more", F.lit(True))
     texts = _split(spark, path).mapInPandas(_pieces, PIECE)
     # A record in one piece needs its own piece alone; only those whose payload holds a version line are put together.
-    key = ["file", "block", "seq"]
+    texts = texts.withColumnRenamed("file", "path")
+    key = ["path", "block", "seq"]
     single = heads.join(split, ["file", "owner"], "left_anti").join(texts, key).withColumn("whole", F.col("piece"))
-    parts = owned.join(split, ["file", "owner"], "left_semi").select(*key, "owner", "off").join(texts, key)
+    parts = owned.join(split, ["file", "owner"], "left_semi").select(*key, "file", "owner", "off").join(texts, key)
     joined = parts.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "piece"))).alias("l"))
     text = F.aggregate("l", F.lit(b""), lambda a, x: F.when(F.length(a) == 0, x["piece"]).otherwise(F.concat(a, F.lit(VERSION.encode()), x["piece"])))
     several = heads.join(joined.select("file", "owner", text.alias("whole")), ["file", "owner"])
