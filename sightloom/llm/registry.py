@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightloom.llm import bpe, chat_format, exact_dedup, jaccard, mixing, pii, quality, toxicity, warc
+from sightloom.llm import bpe, chat_format, exact_dedup, jaccard, mixing, pii, quality, suffix_dedup, toxicity, warc
 from sightloom.llm.common import table, tokenizer_path
 
 
@@ -49,7 +49,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(spark.sql(PROBE))))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_jaccard_join, op4_exact_dedup, op5_quality, op6_warc, op7_bpe, op8_mixing, op9_chat_format)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_jaccard_join, op4_exact_dedup, op5_quality, op6_warc, op7_bpe, op8_mixing, op9_chat_format, op10_suffix_dedup)}
 
 SQL = {
     "op4_exact_dedup": """

@@ -226,6 +226,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those scored 0.5 or more."""
-    return docs.filter(score(train(docs, labels), F.col("text")) < 0.5)
+def without_toxic(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """docs without those scored 0.5 or more. labelled: documents that labels are about, where docs does not hold them."""
+    return docs.filter(score(train(docs if labelled is None else labelled, labels), F.col("text")) < 0.5)
