@@ -137,11 +137,13 @@ def mixed_documents(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_sl
     sizes = stash(rows.select(F.col("doc_id").alias("id"), "source", F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("size"), F.col(rid).cast("long").alias("rid")), "mix-sizes")
     plan = targets(sizes, block_words)
     taken = placed(sizes, plan, block_words).join(slots(plan, shard_slots, seed).select("pos", "block", "pass"), ["pos", "block"])
-    # A document's pieces are as many as its own words need.
-    passes = taken.groupBy("rid", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("cut"), F.sum(F.col("hi") - F.col("lo")).alias("got"), F.max("size").alias("of"))
-    out = rows.join(passes, rows[rid] == passes["rid"])
+    # A document's pieces are as many as its own words need. Own names: docs may have any column.
+    passes = taken.groupBy("rid", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_cut"), F.sum(F.col("hi") - F.col("lo")).alias("_got"), F.max("size").alias("_of"))
+    passes = passes.select(F.col("rid").alias("_taken"), "_cut", "_got", "_of")
+    out = rows.join(passes, rows[rid] == passes["_taken"])
     words = F.regexp_extract_all(whole("text"), F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("cut", lambda c: F.slice(F.col("_words"), (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))), " ")
-    out = out.withColumn("_words", F.when(F.col("got") < F.col("of"), words)).withColumn("_text", F.when(F.col("got") < F.col("of"), some).otherwise(F.col("text")))
+    some = F.array_join(F.flatten(F.transform("_cut", lambda c: F.slice(F.col("_words"), (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))), " ")
+    part = F.col("_got") < F.col("_of")
+    out = out.withColumn("_words", F.when(part, words)).withColumn("_text", F.when(part, some).otherwise(F.col("text")))
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

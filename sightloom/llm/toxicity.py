@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         n = some.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
         toxic, other = n["t"] or 0, n["n"] - (n["t"] or 0)
         if not toxic or not other:
-            return Model([], bias=math.log((toxic + 1e-9) / (other + 1e-9)))
+            return Model([], bias=math.log((toxic + 1e-9) / (other + 1e-6)))
         least = max(3, 0.005 * toxic)
         ratio = (F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (other + 1))
         counts = count_prefixes(some).filter((F.col("t") >= least) & (ratio >= math.exp(3))).orderBy(F.desc("t"), "prefix").limit(MOST_PREFIXES)
