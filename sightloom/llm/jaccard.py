@@ -6,16 +6,17 @@ a document whose prefix holds fewer shared tokens than that has no partner. Orde
 64-bit token hashes.
 
 1. Every text gives the prefix of its set under the first order, and the set's size and fingerprint. Equal sets are one
-   class from here on.
-2. Tokens that only one class has in its prefix go, then classes with too few tokens left; what survives is asked again.
-3. The survivors' sets are made from their texts; prefixes under the other orders are filtered in the same way, and only
-   classes that survive all orders stay. The filters are intersected pair by pair as well: a candidate pair must share
-   the required number of tokens in its prefixes under every order, before anything is verified.
+   class from here on. A task knows the tokens that several classes of its batch have; of each such token it sends one
+   entry on, so that no token has more entries in a shuffle than there are batches.
+2. Tokens that only one class has in its prefix go, then classes with too few tokens left.
+3. The survivors' sets are made from their texts. The filters are intersected pair by pair: a candidate pair must share
+   the required number of tokens in its prefixes under every other order too, before anything is verified.
 4. Candidates. Each token's group is a star: its members against one leader, so that a group of m classes gives m - 1
-   candidates. Verified links merge components (RINGS rounds with different leaders). What is left then are pairs of
-   different components that share a prefix token; these are compared one by one, after the bounds of sizes and of a
-   parity sketch (two sets differ in at least as many tokens as their sketches in bits). Pairs within a component never
-   come up again, which keeps large groups of near copies linear.
+   candidates. Verified links merge components, and tokens whose classes are all in one component are done (RINGS
+   rounds with different leaders). What is left then are pairs of different components that share a prefix token; these
+   are compared one by one, after the bounds of sizes and of a parity sketch (two sets differ in at least as many tokens
+   as their sketches in bits). Pairs within a component never come up again, which keeps large groups of near copies
+   linear.
 5. A pair is verified on whole sets: 100 * intersection >= 100 t * union.
 
 Rows with equal sets are never expanded into pairs; a row's component is its class's.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightloom.llm.common import Stashes, stash
@@ -112,20 +113,48 @@ def _longs(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *lists]).view(np.int64)))
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [tokens(t) for t in b.column("text").to_pylist()]
-        f1, f2 = (np.array([int(_mixed(s * np.uint64(m)).sum(dtype=np.uint64)) ^ len(s) for s in sets], np.uint64).view(np.int64) for m in ORDERS[1:])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), _longs([prefix(s, ORDERS[0]) for s in sets])], ["doc_id", "n", "sid", "check", "pre"])
+PROFILE = "n long, sid long, check long, shared array<long>, sent array<long>"
 
 
-SETS = "sid long, n long, toks array<long>, pre1 array<long>, pre2 array<long>, bits array<long>"
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row's prefix: shared, the tokens that several sets of the batch have; sent, one row's of each of these,
+    and all others."""
+    for b in batches:
+        sets = [tokens(t.as_py()) for t in b.column("text")]
+        f1, f2 = _fingerprints(sets)
+        pre = [prefix(s, ORDERS[0]) for s in sets]
+        flat = np.concatenate([np.zeros(0, np.uint64), *pre])
+        owner = np.repeat(np.arange(len(pre)), [len(x) for x in pre])
+        order = np.argsort(flat, kind="stable")
+        start = np.ones(len(flat), bool)
+        start[1:] = flat[order][1:] != flat[order][:-1]
+        run = np.cumsum(start) - 1
+        first = f1[owner[order]][np.flatnonzero(start)]
+        many = np.zeros(len(first), bool)
+        np.logical_or.at(many, run, f1[owner[order]] != first[run])
+        several, lead = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+        several[order], lead[order] = many[run], start
+        # Copies of one set in a batch send its tokens once, too.
+        ends = np.cumsum([len(x) for x in pre])[:-1]
+        shared = [x[m] for x, m in zip(pre, np.split(several, ends), strict=True)] if pre else []
+        sent = [x[m] for x, m in zip(pre, np.split(lead, ends), strict=True)] if pre else []
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), _longs(shared), _longs(sent)], ["doc_id", *[x.split()[0] for x in PROFILE.split(", ")]])
+
+
+SETS = "sid long, n long, toks array<long>, bits array<long>"
+
+
+def _fingerprints(sets: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.array([int(_mixed(s * np.uint64(m)).sum(dtype=np.uint64)) ^ len(s) for s in sets], np.uint64).view(np.int64) for m in ORDERS[1:]]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [tokens(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array([len(s) for s in sets], pa.int64()), _longs(sets), *[_longs([prefix(s, o) for s in sets]) for o in ORDERS[1:]], _longs([sketch(s).view(np.uint64) for s in sets])], [x.split()[0] for x in SETS.split(", ")])
+        sets = [tokens(t.as_py()) for t in b.column("text")]
+        # Rows that share an id need not share a set.
+        own = np.flatnonzero(_fingerprints(sets)[0] == b.column("sid").to_numpy())
+        sets = [sets[k] for k in own]
+        yield pa.RecordBatch.from_arrays([b.column("sid").take(pa.array(own)), pa.array([len(s) for s in sets], pa.int64()), _longs(sets), _longs([sketch(s).view(np.uint64) for s in sets])], [x.split()[0] for x in SETS.split(", ")])
 
 
 def _reserve(n: Column) -> Column:
@@ -136,35 +165,42 @@ def _needed(n: Column) -> Column:
     return F.ceil(n * PERCENT / 100)
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """The entries (token, sid, n) of tokens that more than one class has, each once."""
-    held = entries.groupBy("token").agg(F.min("sid").alias("one"), F.max("sid").alias("two")).filter("one <> two").select("token")
-    return entries.join(held, "token").distinct()
+def _shared(rows: DataFrame) -> DataFrame:
+    """sid, n, toks: each class's prefix tokens that other classes have, for classes with enough of them."""
+    w = Window.partitionBy("token")
+    # A token has at most an entry for each batch here, so no group is large.
+    far = rows.select(F.explode("sent").alias("token"), "sid").repartition("token").select("token", "sid", F.min("sid").over(w).alias("one"), F.max("sid").over(w).alias("two")).filter("one <> two").select("token", "sid")
+    near = rows.select(F.explode("shared").alias("token"), "sid")
+    got = far.unionByName(near).groupBy("sid").agg(F.collect_set("token").alias("toks"))
+    sizes = rows.groupBy("sid").agg(F.min("n").alias("n"))
+    return got.join(sizes, "sid").filter(F.size("toks") >= _reserve(_needed(F.col("n")))).select("sid", "n", "toks")
 
 
-def _enough(entries: DataFrame) -> DataFrame:
-    """sid of the classes with as many shared tokens as any partner would ask for."""
-    return entries.groupBy("sid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= _reserve(_needed(F.col("n")))).select("sid")
+def links(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets link: they must share enough tokens in their prefixes under every further order, then in all."""
+    least = min(reserve(len(a)), reserve(len(b)))
+    for order in ORDERS[1:]:
+        if len(np.intersect1d(prefix(a, order), prefix(b, order), assume_unique=True)) < least:
+            return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _filtered(entries: DataFrame, tables: Stashes, name: str) -> DataFrame:
-    """Shared entries of classes that have enough of them, asked twice: what goes takes others' shared tokens along."""
-    now = tables.put(name, _shared(entries))
-    for _ in range(2):
-        now = tables.put(name, _shared(now.join(_enough(now), "sid", "left_semi").select("token", "sid", "n")))
-    return tables.put(name, now.join(_enough(now), "sid", "left_semi").select("token", "sid", "n"))
+def _links(a: pa.Array, b: pa.Array) -> pa.Array:
+    sets = ((x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)) for x, y in zip(a, b, strict=True))
+    return pa.array([links(x, y) for x, y in sets], pa.bool_())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, tables: Stashes) -> DataFrame:
-    """The pairs (a, b) that pass the filters of all other orders, and then link."""
-    x = sets.select(F.col("sid").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "toks", "pre1", "pre2")])
-    y = sets.select(F.col("sid").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "toks", "pre1", "pre2")])
-    least = F.least(_reserve(F.col("a_n")), _reserve(F.col("b_n")))
-    common = lambda c: F.size(F.array_intersect(f"a_{c}", f"b_{c}"))
-    both = common("toks")
-    sizes = (100 * F.col("a_n") >= PERCENT * F.col("b_n")) & (100 * F.col("b_n") >= PERCENT * F.col("a_n"))
-    passed = F.when(~sizes, False).when(common("pre1") < least, False).when(common("pre2") < least, False).otherwise(100 * both >= PERCENT * (F.col("a_n") + F.col("b_n") - both))
-    return tables.put("edges", pairs.join(x, "a").join(y, "b").filter(passed).select("a", "b"))
+    """The pairs (a, b) that pass the bounds, then the filters of all other orders, and then link.
+
+    Bounds come first, on sizes and sketches alone: few pairs need their whole sets moved.
+    """
+    small = lambda k, p: sets.select(F.col("sid").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "bits")])
+    near = tables.put("near", pairs.join(small("a", "x"), "a").join(small("b", "y"), "b").filter(_close()).select("a", "b"))
+    whole = lambda k: sets.select(F.col("sid").alias(k), F.col("toks").alias(f"{k}_toks"))
+    said = F.arrow_udf(_links, "boolean")(F.col("a_toks"), F.col("b_toks"))
+    return tables.put("edges", near.join(whole("a"), "a").join(whole("b"), "b").filter(said).select("a", "b"))
 
 
 def _close() -> Column:
@@ -179,9 +215,9 @@ def _close() -> Column:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sid and check (fingerprints of the set) and pre (prefix under the first order) of each row."""
+    """doc_id, n, sid and check (fingerprints of the set), and the prefix under the first order, of each row."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_profiles, f"doc_id {kind}, n long, sid long, check long, pre array<long>")
+    return docs.select("doc_id", "text").mapInArrow(_profiles, f"doc_id {kind}, {PROFILE}")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -193,33 +229,32 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     clash = same.filter("c1 <> c2").limit(1).count()
     if clash:
         raise ValueError("two sets have one fingerprint: choose other factors in ORDERS")
-    first = _filtered(rows.filter("n > 0").select(F.explode("pre").alias("token"), "sid", "n"), tables, "first")
-    left = tables.put("left", first.select("sid").distinct().join(same, "sid").select("sid", "doc_id"))
+    first = tables.put("first", _shared(rows.filter("n > 0").select("sid", "n", "shared", "sent")))
+    left = tables.put("left", first.select("sid").join(same, "sid").select("sid", "doc_id"))
     few = left.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     # A null id stands in for its set only where no other row does.
     texts = docs.select("doc_id", "text").join(F.broadcast(left) if few else left, docs["doc_id"].eqNullSafe(left["doc_id"])).select("sid", "text")
-    sets = tables.put("sets", texts.mapInArrow(_sets, SETS).dropDuplicates(["sid"]))
-    for c in ("pre1", "pre2"):
-        more = _filtered(sets.select(F.explode(c).alias("token"), "sid", "n"), tables, "more")
-        sets = tables.put("sets", sets.join(more.select("sid").distinct(), "sid", "left_semi"))
-    first = tables.put("first", _shared(first.join(sets.select("sid"), "sid", "left_semi").select("token", "sid", "n")))
+    sets = tables.put("sets", texts.mapInArrow(_sets, SETS))
+    if sets.count() > left.count():  # an id stands in several rows
+        sets = tables.put("sets", sets.dropDuplicates(["sid"]))
     labels = tables.put("labels", sets.select(F.col("sid").alias("node"), F.col("sid").alias("comp")))
+    open_ = first.select(F.explode("toks").alias("token"), "sid", F.col("sid").alias("comp"))
     done = None
-    for ring in range(RINGS):
-        group = first.join(labels, first["sid"] == labels["node"]).select("token", "sid", "comp", "n")
-        lead = group.groupBy("token").agg(F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", F.lit(ring))).alias("l"), F.min("comp").alias("one"), F.max("comp").alias("two")).filter("one <> two")
-        pairs = group.join(lead.select("token", F.col("l.sid").alias("lead"), F.col("l.comp").alias("of")), "token").filter("comp <> of")
-        pairs = pairs.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
+    for ring in range(RINGS + 1):
+        ends = open_.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("two"), F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", F.lit(ring))).alias("l")).filter("one <> two")
+        group = open_.join(ends.select("token", "l"), "token")
+        if ring == RINGS:
+            group = tables.put("last", group.select("token", "sid", "comp"))
+            break
+        pairs = group.filter(F.col("comp") != F.col("l.comp")).select(F.least("sid", "l.sid").alias("a"), F.greatest("sid", "l.sid").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = tables.put(f"pairs{ring}", pairs)
-        if pairs.isEmpty():
-            break
-        labels = merge(labels, _verified(pairs, sets, tables), tables)
-        done = pairs if done is None else done.unionByName(pairs)
-    group = first.join(labels, first["sid"] == labels["node"]).select("token", "sid", "comp")
-    open_ = group.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).filter("one <> two").select("token")
-    group = tables.put("open", group.join(open_, "token").join(sets.select("sid", "n", "bits"), "sid"))
+        if not pairs.isEmpty():
+            labels = merge(labels, _verified(pairs, sets, tables), tables)
+            done = pairs if done is None else done.unionByName(pairs)
+        open_ = tables.put("open", group.select("token", "sid").join(labels, F.col("sid") == labels["node"]).select("token", "sid", "comp"))
+    group = group.join(sets.select("sid", "n", "bits"), "sid")
     x, y = (group.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("sid", "comp", "n", "bits")]) for p in "xy")
     rest = x.join(y, (x["token"] == y["token"]) & (F.col("x_comp") < F.col("y_comp")) & _close()).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
     rest = tables.put("rest", rest if done is None else rest.join(done, ["a", "b"], "left_anti"))
