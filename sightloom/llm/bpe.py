@@ -16,10 +16,12 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from itertools import chain
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,10 @@ from sightloom.llm.common import sha256_hex
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: White space for str.split() alone.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+#: Of each of two generations.
+CACHED_WORDS, CACHED_TOKENS, CACHED_CHARS = 250_000, 350_000, 48
+#: Letters in a row are one token of this pattern, and so is a full stop or comma by itself.
+LETTERS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_chars() -> list[str]:
@@ -50,87 +55,111 @@ class Bpe:
         end = model.get("end_of_word_suffix") or ""
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         v = self.vocab
-        self.merges = {(v[a], v[b]): (rank, v[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: By pair of ids: the merge's rank. By rank: the pair and what it becomes.
+        self.ranks: dict[int, int] = {}
+        self.left, self.right, self.new = [], [], []
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[v[a] << 32 | v[b]] = rank
+            self.left.append(v[a])
+            self.right.append(v[b])
+            self.new.append(v[a + b])
         chars = byte_chars()
         self.inner, self.last = [v[c] for c in chars], [v[c + end] for c in chars]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in {**v, **self.special}.items()}
+        self.table = pa.array([self.strings.get(i) for i in range(max(self.strings) + 1)], pa.large_string())
         found = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.pattern = regex.compile(found[0])
+        self.pattern, self.by_letters = regex.compile(found[0]), found[0] == LETTERS_PATTERN
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.spaces = regex.compile(f"[^{SPACE}]+")
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.tokens: dict[str, list[int]] = {}
+        self.words = _Words(self.word, CACHED_WORDS)
+        self.tokens = _Words(self.token, CACHED_TOKENS)
 
     def merge(self, ids: list[int]) -> list[int]:
         """The symbols left when merges are applied by rank, leftmost first."""
-        n, merges = len(ids), self.merges
-        if n < 2:
+        n, rank = len(ids), self.ranks.get
+        # An entry is rank << 32 | place; what it merges is known by its rank.
+        found = [rank(a << 32 | b) for a, b in zip(ids, ids[1:], strict=False)]
+        queue = [r << 32 | i for i, r in enumerate(found) if r is not None]
+        if not queue:
             return ids
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        left, right, new, pop, push = self.left, self.right, self.new, heapq.heappop, heapq.heappush
         heapq.heapify(queue)
         while queue:
-            # The merged id says nothing about the order: a rank has one pair.
-            _, new, i, a, b = heapq.heappop(queue)
+            entry = pop(queue)
+            i = entry & 0xFFFFFFFF
+            r = entry >> 32
             j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            if j < 0 or ids[i] != left[r] or ids[j] != right[r]:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i] = x = new[r]
+            ids[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(queue, (*m, i, new, ids[k]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(queue, (*m, h, ids[h], new))
+                q = rank(x << 32 | ids[k])
+                if q is not None:
+                    push(queue, q << 32 | i)
+            h = before[i]
+            if h >= 0:
+                q = rank(ids[h] << 32 | x)
+                if q is not None:
+                    push(queue, q << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def word(self, text: str) -> tuple[int, ...]:
-        """The ids of a text without white space."""
-        out: list[int] = []
+    def word(self, text: str) -> bytes:
+        """The ids of a text without white space, as 32-bit numbers one after another."""
+        if self.by_letters and text.isascii():
+            if text.isalpha():
+                return self.tokens[text.lower()]
+            if text[-1] in ".," and text[:-1].isalpha():
+                return self.tokens[text[:-1].lower()] + self.tokens[text[-1]]
+        out = []
         for part in self.specials.split(text) if "<" in text else (text,):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(np.int32(self.special[part]).tobytes())
                 continue
             # Lower case letter by letter: a capital sigma has no final form here.
             flat = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for token in self.pattern.findall(flat):
-                out += self.token(token)
-        return tuple(out)
+            out += map(self.tokens.__getitem__, self.pattern.findall(flat))
+        return b"".join(out)
 
-    def token(self, text: str) -> list[int]:
+    def token(self, text: str) -> bytes:
         """The ids of a pre-token."""
-        ids = self.tokens.get(text)
-        if ids is None:
-            raw = text.encode("utf-8", "surrogatepass")
-            ids = [self.inner[b] for b in raw]
-            ids[-1] = self.last[raw[-1]]
-            ids = self.merge(ids)
-            if len(text) <= CACHED_CHARS:
-                if len(self.tokens) >= CACHED_WORDS:
-                    self.tokens.clear()
-                self.tokens[text] = ids
-        return ids
-
-    def cached(self, text: str) -> tuple[int, ...]:
-        ids = self.cache.get(text)
-        if ids is None:
-            ids = self.word(text)
-            if len(text) <= CACHED_CHARS:
-                if len(self.cache) >= CACHED_WORDS:
-                    self.cache.clear()
-                self.cache[text] = ids
-        return ids
+        raw = text.encode("utf-8", "surrogatepass")
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        return array("i", self.merge(ids)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         words = self.spaces.findall(text) if any(c in text for c in _NOT_SPACE) else text.split()
-        return np.fromiter(chain.from_iterable(map(self.cached, words)), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
+class _Words(dict):
+    """A function's values by word. When a number of words is reached they become the old generation, from which words
+    still in use come back; the generation before goes. Long words are not kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
 _loaded: dict[int, Bpe] = {}
 
 
@@ -154,7 +183,7 @@ def encode(source, text: Column) -> Column:
 
     def ids_of(texts: pa.Array) -> pa.Array:
         tool = _tool(source)
-        ids = [tool.encode(t or "") for t in texts.to_pylist()]
+        ids = [tool.encode(t.as_py() or "") for t in texts]
         ends = np.zeros(len(ids) + 1, dtype=np.int32)
         np.cumsum([len(x) for x in ids], out=ends[1:])
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
@@ -167,7 +196,11 @@ def decode(source, ids: Column) -> Column:
 
     def text_of(lists: pa.Array) -> pa.Array:
         tool = _tool(source)
-        return pa.array([tool.decode(x or []) for x in lists.to_pylist()], pa.string())
+        ends = np.zeros(len(lists) + 1, dtype=np.int64)
+        np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=ends[1:])
+        # All of a batch's ids at once: looked up, and put together list by list.
+        found = pa.LargeListArray.from_arrays(pa.array(ends), tool.table.take(lists.flatten()))
+        return pc.binary_join(found, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
     return F.arrow_udf(text_of, "string")(ids)
 
