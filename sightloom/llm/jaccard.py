@@ -107,6 +107,29 @@ def sketch(toks: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(toks: np.ndarray) -> bytes:
+    """As sketch, in twice as many bins as tokens or more (a power of two): long sets would fill a sketch of fixed size."""
+    bins = 512
+    while bins < 2 * len(toks):
+        bins *= 2
+    odd = np.bincount((toks >> np.uint64(20)).astype(np.int64) % bins, minlength=bins) % 2
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """In how many bins two wide sketches differ; the longer is folded, which adds parities of bins."""
+    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _differ(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([differ(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.int64())
+
+
 def _longs(lists: list[np.ndarray]) -> pa.Array:
     ends = np.zeros(len(lists) + 1, np.int32)
     np.cumsum([len(x) for x in lists], out=ends[1:])
@@ -141,7 +164,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), _longs(shared), _longs(sent)], ["doc_id", *[x.split()[0] for x in PROFILE.split(", ")]])
 
 
-SETS = "sid long, n long, toks array<long>, bits array<long>"
+SETS = "sid long, n long, toks array<long>, bits array<long>, wide binary"
 
 
 def _fingerprints(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -154,7 +177,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows that share an id need not share a set.
         own = np.flatnonzero(_fingerprints(sets)[0] == b.column("sid").to_numpy())
         sets = [sets[k] for k in own]
-        yield pa.RecordBatch.from_arrays([b.column("sid").take(pa.array(own)), pa.array([len(s) for s in sets], pa.int64()), _longs(sets), _longs([sketch(s).view(np.uint64) for s in sets])], [x.split()[0] for x in SETS.split(", ")])
+        yield pa.RecordBatch.from_arrays([b.column("sid").take(pa.array(own)), pa.array([len(s) for s in sets], pa.int64()), _longs(sets), _longs([sketch(s).view(np.uint64) for s in sets]), pa.array([wide_sketch(s) for s in sets], pa.binary())], [x.split()[0] for x in SETS.split(", ")])
 
 
 def _reserve(n: Column) -> Column:
@@ -196,8 +219,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, tables: Stashes) -> DataFrame:
 
     Bounds come first, on sizes and sketches alone: few pairs need their whole sets moved.
     """
-    small = lambda k, p: sets.select(F.col("sid").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "bits")])
-    near = tables.put("near", pairs.join(small("a", "x"), "a").join(small("b", "y"), "b").filter(_close()).select("a", "b"))
+    small = lambda k, p: sets.select(F.col("sid").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "bits", "wide")])
+    off = F.arrow_udf(_differ, "long")(F.col("x_wide"), F.col("y_wide"))
+    near = pairs.join(small("a", "x"), "a").join(small("b", "y"), "b").filter(_close()).withColumn("off", off)
+    near = tables.put("near", near.filter(F.col("off") * (100 + PERCENT) <= (100 - PERCENT) * (F.col("x_n") + F.col("y_n"))).select("a", "b"))
     whole = lambda k: sets.select(F.col("sid").alias(k), F.col("toks").alias(f"{k}_toks"))
     said = F.arrow_udf(_links, "boolean")(F.col("a_toks"), F.col("b_toks"))
     return tables.put("edges", near.join(whole("a"), "a").join(whole("b"), "b").filter(said).select("a", "b"))

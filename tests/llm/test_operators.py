@@ -113,6 +113,8 @@ def test_prefix_filter_keeps_every_link():
             x, y = jaccard.sketch(a), jaccard.sketch(b)
             bits = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64).tolist())
             assert 180 * bits <= 20 * (len(a) + len(b))
+            off = jaccard.differ(jaccard.wide_sketch(a), jaccard.wide_sketch(b))
+            assert off == jaccard.differ(jaccard.wide_sketch(b), jaccard.wide_sketch(a)) <= len(np.setxor1d(a, b))
 
 
 # --- 6
