@@ -53,9 +53,16 @@ class Trie:
             for c in term.rstrip("*"):
                 node = node[0].setdefault(c, [{}, None])
             node[1] = (k, term.endswith("*"), len(term.rstrip("*")) >= 5)
+        # One edit leaves one half of a term as it is: the first at a word's start, or the second. Other words match none.
+        plain = sorted({t.rstrip("*") for t in terms})
+        starts = [t[: len(t) // 2] if len(t) >= 5 else t for t in plain]
+        halves = ["^(?:" + "|".join(map(re.escape, starts)) + ")", *(re.escape(t[len(t) // 2 :]) for t in plain if len(t) >= 5)]
+        self.gate = re.compile("|".join(halves)) if terms else re.compile(r"(?!)")
 
     def matches(self, word: str) -> dict[int, int]:
         """term: distance (0 or 1) of the terms that a word is, or begins with where the term is a stem."""
+        if not self.gate.search(word):
+            return {}
         place: dict[str, int] = {}
         for i, c in enumerate(word):
             place[c] = place.get(c, 0) | 1 << i + 1
