@@ -158,7 +158,7 @@ def top_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_relations(spark: SparkSession, sf: str) -> DataFrame:
-    out = visual.merge_relations(_relations(spark, sf), gap=100.0)
+    out = visual.merge_relations(_relations(spark, sf).distinct(), gap=100.0)
     return out.withColumns({"min_distance": F.round("min_distance", 4), "max_distance": F.round("max_distance", 4)})
 
 
@@ -233,7 +233,7 @@ def conversation_points(spark: SparkSession, sf: str) -> DataFrame:
 
 def change_scores(spark: SparkSession, sf: str) -> DataFrame:
     ch = adaptive.changes(conversation_points(spark, sf))
-    return ch.filter("change_score is not null").select("segment_id", F.round("change_score", 4).alias("change_score"), F.round("signals.caption_change", 4).alias("caption_change"), F.round("signals.time_gap_signal", 4).alias("time_gap"))
+    return ch.filter("change_score is not null").select("segment_id", "change_score", F.col("signals.caption_change").alias("caption_change"), F.col("signals.time_gap_signal").alias("time_gap"))
 
 
 def adaptive_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,8 +356,8 @@ SQL = {
         o AS (SELECT *, row_number() OVER (PARTITION BY video, frame, target_id ORDER BY value DESC, target_id, relation_type, related_id) AS r FROM v),
         f AS (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY value DESC, target_id, relation_type, related_id) AS q FROM o WHERE r <= 3)
         SELECT video, frame, target_id, related_id, relation_type FROM f WHERE q <= 50""",
-    "merged_relations": f"""WITH {_REL}, l AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY video, target_id, related_id, relation_type ORDER BY time, frame) > 100 THEN 1 ELSE 0 END AS cut FROM rel),
-        n AS (SELECT *, sum(cut) OVER (PARTITION BY video, target_id, related_id, relation_type ORDER BY time, frame ROWS UNBOUNDED PRECEDING) AS run FROM l)
+    "merged_relations": f"""WITH {_REL}, l AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY video, target_id, related_id, relation_type ORDER BY time, frame, distance) > 100 THEN 1 ELSE 0 END AS cut FROM (SELECT DISTINCT * FROM rel)),
+        n AS (SELECT *, sum(cut) OVER (PARTITION BY video, target_id, related_id, relation_type ORDER BY time, frame, distance ROWS UNBOUNDED PRECEDING) AS run FROM l)
         SELECT video, target_id, related_id, relation_type, min(time) AS start_time, max(time) AS end_time, count(DISTINCT frame) AS support_frames,
                round(min(distance), 4) AS min_distance, round(max(distance), 4) AS max_distance FROM n GROUP BY video, target_id, related_id, relation_type, run""",
     "relation_pair_cap": f"""WITH {_REL}, p AS (SELECT *, least(target_id, related_id) AS a, greatest(target_id, related_id) AS b FROM rel),
@@ -398,7 +398,7 @@ SQL = {
     "change_scores": f"""WITH t AS (SELECT conv_id, turn, conv_id || '_' || turn AS segment_id, role, list_distinct({_TOKENS}) AS toks FROM conversations),
         p AS (SELECT *, lag(toks) OVER w AS ptoks, lag(role) OVER w AS prole, greatest(0.0, turn * 7.0 - lag(turn * 7.0 + 5 - turn % 3) OVER w) AS gap FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
         c AS (SELECT segment_id, CASE WHEN len(list_distinct(list_concat(ptoks, toks))) = 0 THEN 0.0 ELSE 1 - len(list_intersect(ptoks, toks)) / len(list_distinct(list_concat(ptoks, toks))) END AS cap, CASE WHEN role = prole THEN 0.0 ELSE 1.0 END AS obj, least(1.0, gap / 5.0) AS g FROM p WHERE prole IS NOT NULL)
-        SELECT segment_id, round(round(0.35 * cap + 0.25 * obj + 0.1 * g, 6), 4) AS change_score, round(round(cap, 6), 4) AS caption_change, round(round(g, 6), 4) AS time_gap FROM c""",
+        SELECT segment_id, round(0.35 * cap + 0.25 * obj + 0.1 * g, 6) AS change_score, round(cap, 6) AS caption_change, round(g, 6) AS time_gap FROM c""",
     "view_statistics": f"SELECT count(*) AS row_count, round(avg(len({_TOKENS})), 4) AS avg_text_tokens, round(avg(CAST(n_chars AS DOUBLE)), 4) AS avg_duration FROM documents",
     "kept_graph": "SELECT DISTINCT 'o' || l_orderkey AS source, 's' || l_suppkey AS target, l_returnflag AS relation FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
     "query_set_errors": """WITH q AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_partkey % 1500 AS VARCHAR) END AS query_id, p_size, p_name FROM part),
