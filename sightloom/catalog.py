@@ -83,6 +83,10 @@ _REL = (
 )
 
 
+#: What spatial_relations emits.
+RELATION_TYPES = ("nearest_to", "same_frame", "left_of", "right_of", "above", "below", "overlap_or_near")
+
+
 def _relations(spark: SparkSession, sf: str) -> DataFrame:
     return visual.spatial_relations(detections(spark, sf)).select("video", "frame", "time", "target_id", "related_id", "relation_type", "distance")
 
@@ -188,6 +192,12 @@ def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("video", "start_time", "end_time", "objects", "tracks", F.array_join("labels", ",").alias("labels"))
 
 
+def sliding_windows_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows over all sightings: odd lines are objects, even lines tracks."""
+    s = sightings(spark, sf).withColumn("kind", F.when(F.col("l_linenumber") % 2 == 1, "object").otherwise("track"))
+    return temporal.sliding_windows(s, size=8.0, stride=4.0).select("video", "start_time", "end_time", "objects", "tracks", F.array_join("labels", ",").alias("labels"))
+
+
 def _marks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = _t(spark, sf, "events").select(F.col("user_id").alias("video"), F.col("event_id"), "event_type", _seconds(F.col("ts")).alias("time"))
     anchors = e.filter("event_type = 'purchase'").select("video", F.col("event_id").alias("anchor_id"), "time")
@@ -217,6 +227,19 @@ def best_relations(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.best_relation(ev, rel, strict=60.0, loose=200.0).drop("relation_type")
 
 
+def best_relations_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The best relation, of any type, of every detection. Ids hold frame, objects and type.
+
+    Line numbers of an order can repeat, so an event's id also holds which of the detections of its frame and object it is.
+    """
+    kind = F.array_position(F.array(*map(F.lit, RELATION_TYPES)), F.col("relation_type"))
+    rel = _relations(spark, sf).withColumn("relation_id", ((F.col("frame") * 100 + F.col("target_id")) * 100 + F.col("related_id")) * 10 + kind)
+    rel = rel.select("video", "relation_id", "relation_type", F.col("target_id").alias("track_id"), "frame", F.floor(F.col("time") / 500).alias("segment_id"), "time")
+    which = F.row_number().over(_by("video", "frame", "object_id").orderBy("confidence", "box", "label"))
+    ev = detections(spark, sf).select("video", F.concat_ws("-", *[c.cast("string") for c in (F.col("frame"), F.col("object_id"), which)]).alias("event_id"), F.col("object_id").alias("track_id"), (F.col("frame") + F.when(F.col("confidence") > 0.5, 0).otherwise(1_000_000)).alias("frame"), F.floor(F.col("time") / 500).alias("segment_id"), "time")
+    return temporal.best_relation(ev, rel, strict=60.0, loose=200.0)
+
+
 def segment_marks(spark: SparkSession, sf: str) -> DataFrame:
     anchors, _ = _marks(spark, sf)
     e = _t(spark, sf, "events").filter("event_type = 'click'")
@@ -324,7 +347,7 @@ def question_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (text_tokens, scope_topk, time_text, video_names, label_histogram, gap_sessions, event_windows, label_neighbors, spatial_relations, top_relations, merged_relations, relation_pair_cap, frame_profiles, region_entries, box_measures, sliding_windows, nearby_events, events_around, best_relations, segment_marks, change_scores, adaptive_events, view_statistics, text_chunks, kept_graph, query_set_errors, batch_topk, packing_scores, packed_evidence, assigned_tracks, kept_keyframes, scene_index, question_evidence)}
+QUERIES = {f.__name__: f for f in (text_tokens, scope_topk, time_text, video_names, label_histogram, gap_sessions, event_windows, label_neighbors, spatial_relations, top_relations, merged_relations, relation_pair_cap, frame_profiles, region_entries, box_measures, sliding_windows, sliding_windows_all, nearby_events, events_around, best_relations, best_relations_all, segment_marks, change_scores, adaptive_events, view_statistics, text_chunks, kept_graph, query_set_errors, batch_topk, packing_scores, packed_evidence, assigned_tracks, kept_keyframes, scene_index, question_evidence)}
 
 _ORDERED = ("nearest_to", "close_to", "overlap", "overlap_or_near", "crossing", "same_region", "left_of", "right_of", "in_front_of", "behind", "next_to", "above", "below", "same_frame", "far", "unrelated", "unknown")
 _VALUE = "CASE relation_type " + " ".join(f"WHEN '{k}' THEN {visual.PRIORITY[k]}" for k in _ORDERED) + " ELSE 0 END * 10.0 + 2.5 + 1.0 / (1.0 + distance)"
