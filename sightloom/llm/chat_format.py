@@ -1,8 +1,8 @@
 r"""Chat formatting with typed content parts.
 
 A turn's content is a list of parts, array<struct<kind, text, ref, units>>: kind is text, image, audio or document. The
-visitor goes through the parts in order. A text part is written with control strings escaped; any other part leaves a
-numbered placeholder in the text, an attachment record (ordinal, kind, ref, tokens) and its expanded token count.
+visitor goes through the parts in order. Text parts side by side are joined and written with control strings escaped; any
+other part leaves a numbered placeholder in the text, an attachment record (ordinal, kind, ref, tokens) and its expanded token count.
 
 Template: <|turn|>ROLE<|body|>TEXT<|end|> for every turn, joined without anything between. Loss falls on the bodies of
 assistant turns. Escaping is reversible: each backslash is doubled, and one is put after the first character of whatever
@@ -39,6 +39,11 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
+def text_part(text: Column) -> Column:
+    """A text as a list of one typed part."""
+    return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).alias("ref"), F.lit(None).alias("units"))).cast(PARTS)
+
+
 def visit(parts: Column) -> Column:
     """struct<text, attachments> of a list of parts: the escaped text with placeholders, and what they stand for."""
     kind = lambda p: F.when(p["kind"].isin(*UNIT_TOKENS), p["kind"]).otherwise(F.lit("document"))
@@ -47,10 +52,17 @@ def visit(parts: Column) -> Column:
     known = F.filter(F.coalesce(parts, F.array().cast(PARTS)), lambda p: p.isNotNull())
     others = F.filter(known, lambda p: ~is_text(p))
     attachments = F.transform(others, lambda p, i: F.struct((i + 1).alias("ordinal"), kind(p).alias("kind"), p["ref"].alias("ref"), (F.coalesce(p["units"], F.lit(1)) * rate(p)).cast("long").alias("tokens")))
-    # Ordinals of the placeholders: how many parts other than text stand before.
-    place = lambda p, i: F.concat(F.lit("<|"), kind(p), F.lit(":"), (F.size(F.filter(F.slice(known, F.lit(1), i + 1), lambda q: ~is_text(q)))).cast("string"), F.lit("|>"))
-    pieces = F.transform(known, lambda p, i: F.when(is_text(p), escape(whole(p["text"]))).otherwise(place(p, i)))
-    return F.struct(F.array_join(pieces, "").alias("text"), attachments.alias("attachments"))
+
+    # Text parts side by side are one text: a control string may lie across their border.
+    def step(acc: Column, p: Column) -> Column:
+        n = acc["n"] + 1
+        place = F.concat(acc["done"], escape(acc["run"]), F.lit("<|"), kind(p), F.lit(":"), n.cast("string"), F.lit("|>"))
+        more = F.struct(acc["done"].alias("done"), F.concat(acc["run"], whole(p["text"])).alias("run"), acc["n"].alias("n"))
+        return F.when(is_text(p), more).otherwise(F.struct(place.alias("done"), F.lit("").alias("run"), n.alias("n")))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("run"), F.lit(0).alias("n"))
+    text = F.aggregate(known, start, step, lambda acc: F.concat(acc["done"], escape(acc["run"])))
+    return F.struct(text.alias("text"), attachments.alias("attachments"))
 
 
 def format_conversations(turns: DataFrame, parts_col: str | None = None) -> DataFrame:

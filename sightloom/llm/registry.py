@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sightloom.llm import bpe, chat_format, exact_dedup, jaccard, mixing, pii, quality, suffix_dedup, toxicity, warc
 from sightloom.llm.common import table, tokenizer_path
@@ -46,7 +47,8 @@ PROBE = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_format.digests(chat_format.format_conversations(turns.unionByName(spark.sql(PROBE))))
+    typed = turns.unionByName(spark.sql(PROBE)).withColumn("parts", chat_format.text_part(F.col("text")))
+    return chat_format.digests(chat_format.format_conversations(typed, "parts"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,6 +270,24 @@ def test_chat_parts(spark):
     assert r.attachment_tokens == 1556
 
 
+def test_chat_text_parts_join(spark):
+    parts = [("text", "<", None, None), ("text", None, None, None), ("text", "|end|>", None, None), ("image", None, "a", 1), ("text", "[", None, None), ("text", "INST]\\", None, None)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts), (1, 1, "user", parts[:1])], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
+    out = chat_format.format_conversations(df, "parts")
+    r = out.select(chat_format.parse(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t.role, t.text) for t in r.turns] == [("assistant", "<|end|><|image:1|>[INST]\\"), ("user", "<")]
+    assert r.loss == "<|end|><|image:1|>[INST]\\"
+
+
+def test_chat_query_visits_parts(spark, monkeypatch):
+    from sightloom.llm import registry
+
+    seen, visit = [], chat_format.visit
+    monkeypatch.setattr(chat_format, "visit", lambda parts: seen.append(parts) or visit(parts))
+    got = registry.op9_chat_format(spark, "/root/testdata/sf0.001")
+    assert seen and not got.isEmpty()
+
+
 # --- 5
 def brute_repeats(text):
     w = text.encode().split()
