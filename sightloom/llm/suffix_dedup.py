@@ -15,7 +15,8 @@ Bytes covered by a string of WIDTH bytes that starts anywhere else too are found
 
 Edge cases: a null text is empty; texts below WIDTH bytes lose nothing; windows never cross documents; overlapping
 repeats of one text with itself count; equal rows are documents of their own, so both lose all that they share; a row with
-a null id loses nothing itself; other columns are ignored; an empty table gives an empty result.
+a null id loses nothing itself, but what others share with it goes from them; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -198,10 +199,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = stash(spans, "suffix-equal")
     ragged = segs.join(several, "v").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "starts", "v")).alias("cuts"))
     ragged = tables.put("ragged", ragged)
-    ids = ragged.select("doc_id").distinct()
-    some = texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else texts
+    # A segment's representative may be a row with a null id, and stands for others that share parts of it. Null and 0
+    # are one key here: with tk, rows of one key have one text.
+    key = F.coalesce("doc_id", F.lit(0)).alias("k")
+    texts, ragged = texts.select(key, "tk", "text"), ragged.select(key, "*")
+    ids = ragged.select("k").distinct()
+    some = texts.join(F.broadcast(ids), "k", "left_semi") if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else texts
     data = F.col("text").cast("binary")
-    cut = some.dropDuplicates(["doc_id", "tk"]).join(ragged, ["doc_id", "tk"]).select("doc_id", "tk", "text", F.explode("cuts").alias("c"))
+    cut = some.dropDuplicates(["k", "tk"]).join(ragged, ["k", "tk"]).select("doc_id", "tk", "text", F.explode("cuts").alias("c"))
     cut = cut.select("doc_id", "tk", F.col("c.at").alias("at"), F.col("c.v").alias("v"), F.substring(data, (F.col("c.at") + 1).cast("int"), (F.col("c.starts") + WIDTH - 1).cast("int")).alias("seg"))
     more = stash(cut.repartition("v").sortWithinPartitions("v").mapInArrow(_repeats, "doc_id long, tk long, lo long, hi long"), "suffix-merged")
     tables.drop()

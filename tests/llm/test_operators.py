@@ -443,6 +443,17 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.without_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_with_null_ids(spark):
+    r = random.Random(12)
+    base, tail, other = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (900, 300, 700))
+    rows = [(None, base), (1, base), (2, base[100:500] + "X" + tail), (None, other), (None, other[:450] + "Y"), (3, other[200:600] + "Z"), (4, tail[:250])]
+    want = brute_spans([t.encode() for _, t in rows])
+    assert want[2][1] >= 400 and want[5][1] >= 250
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got if x.doc_id is not None} == {i: w for (i, _), w in zip(rows, want, strict=True) if i is not None}
+    assert sorted((x.n_bytes, x.n_removed) for x in got if x.doc_id is None) == [(451, 0), (700, 0), (900, 0)]
+
+
 def test_merge_of_shards_in_small():
     r = random.Random(1)
     for _ in range(30):
