@@ -84,5 +84,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_duplicates drops."""
-    dropped = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    # By id and text: an id may stand in rows with different texts, and copies may have null ids.
+    dropped = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_dropped"), F.col("text_sha256").alias("_dropped_sha256"))
+    rows = docs.withColumn("_text_sha256", sha256_hex(whole(text_col)))
+    return rows.join(dropped, rows[id_col].eqNullSafe(F.col("_dropped")) & (F.col("_text_sha256") == F.col("_dropped_sha256")), "left_anti").select(*docs.columns)

@@ -303,6 +303,14 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that have a smaller id in their component."""
-    gone = linked(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """docs without those that have a smaller id in their component; a null id stays only where its component has no other."""
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        gone = linked(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    # Ids do not tell rows apart: components are of row numbers, and their smallest ids are looked up.
+    rows = stash(docs.withColumn("_rid", F.monotonically_increasing_id()), "jaccard-numbered")
+    comps = linked(rows.select(F.col("_rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("_gone"), "component_id")
+    known = stash(rows.select("_rid", "doc_id").join(comps, F.col("_rid") == F.col("_gone")).select("_gone", "component_id", "doc_id"), "jaccard-ids")
+    low = known.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    gone = known.join(low, "component_id").filter(~F.col("doc_id").eqNullSafe(F.col("least"))).select("_gone")
+    return rows.join(gone, F.col("_rid") == F.col("_gone"), "left_anti").select(*docs.columns)

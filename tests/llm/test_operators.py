@@ -61,6 +61,12 @@ def test_exact_null_id(spark):
     assert got == {(None, 2): False, (3, 2): True, (None, 1): True}
 
 
+def test_exact_copies_go_by_id_and_text(spark):
+    rows = [(1, "a"), (1, "own"), (2, "a"), (None, "a"), (None, "alone"), (3, None), (4, ""), (4, "b")]
+    got = exact_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "own"), (2, "a"), (None, "alone"), (4, ""), (4, "b")]))
+
+
 # --- 3
 def brute_jaccard(rows):
     sets = {}
@@ -98,6 +104,13 @@ def test_jaccard(spark):
     assert jaccard.linked(empty(spark)).count() == 0
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(100)) for x in "abc")
+    rows = [(1, a), (2, a + " tail"), (2, b), (None, b + " tail"), (None, c), (None, a), (5, c + " " + b), (1, None)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], rows[2], rows[4], rows[6], rows[7]]))
+
+
 def test_prefix_filter_keeps_every_link():
     """Sets that link share as many prefix tokens as the filter asks for, under every order."""
     r = np.random.default_rng(3)
