@@ -30,10 +30,11 @@ from sightloom.llm.common import whole
 
 TRAIN_ROWS = 20_000
 LEAST, MOST = 4, 10
-MOST_PREFIXES, MOST_TERMS = 20_000, 300
 CONTEXT = 6
 CLEAN_WORDS = 1_000_000
 LETTERS = re.compile(r"[^\W_]+")
+#: A word with punctuation between its first and last letter.
+MASKED = re.compile(r"[^\W_](?:.*[\W_].*)[^\W_]")
 QUOTES = frozenset('"“”„«»‘’‹›')
 #: Words of reporting: beside them a term is more likely quoted than used.
 REPORTING = frozenset("said says wrote quote quoted quotes called calling word term slur dit écrit zitat sagte schrieb dijo escribió".split())
@@ -103,7 +104,13 @@ class Model:
         """(term, distance) of the findings in a word between white space."""
         if self.trie is None:
             self.trie = Trie(self.terms)
-        return [m for part in LETTERS.findall(word.lower()) if len(part) >= LEAST - 1 for m in self.trie.matches(part).items()]
+        low = word.lower()
+        found = [m for part in LETTERS.findall(low) if len(part) >= LEAST - 1 for m in self.trie.matches(part).items()]
+        if inner := MASKED.search(low):
+            # Punctuation within a word may stand for a letter of a term: the whole is looked at for terms that no part has.
+            known = {k for k, _ in found}
+            found += [m for m in self.trie.matches(inner[0]).items() if m[0] not in known]
+        return found
 
     def findings(self, text: str) -> list[tuple[int, int, bool]]:
         """(term, distance, quoted) of every finding of a text."""
@@ -158,27 +165,29 @@ def lexicon(counts: list[tuple[str, int, int, int]], toxic: int, other: int) ->
     by = {p: (t, c, w) for p, t, c, w in counts if t >= least and odds(t, c) >= 3}
     out: dict[str, tuple[int, bool]] = {}
     covered: set[str] = set()
+    longer: dict[str, list[str]] = {}
+    for q in by:
+        longer.setdefault(q[:-1], []).append(q)
     for p in sorted(by, key=lambda p: (len(p), p)):
         if any(p[:k] in covered for k in range(LEAST, len(p))):
             continue
         covered.add(p)
         # As long as nearly all of its texts stay.
         t = by[p][0]
-        while len(p) < MOST and (more := max((q for q in by if len(q) == len(p) + 1 and q.startswith(p)), key=lambda q: by[q][0], default=None)) and by[more][0] >= 0.95 * t:
+        while len(p) < MOST and (more := max(longer.get(p, []), key=lambda q: by[q][0], default=None)) and by[more][0] >= 0.95 * t:
             p = more
         whole_word = by[p][2] >= 0.95 * by[p][0] and len(p) < MOST
         out[p] = (t, whole_word)
-    best = sorted(out, key=lambda p: (-out[p][0], p))[:MOST_TERMS]
-    return sorted(p if out[p][1] else f"{p}*" for p in best)
+    return sorted(p if out[p][1] else f"{p}*" for p in out)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression by gradient descent with momentum; deterministic."""
-    w, b = np.zeros(x.shape[1]), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+def _fit(at: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, steps: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression by gradient descent with momentum over sparse counts (row, column, value); deterministic."""
+    w, b = np.zeros(size), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     vw, vb = np.zeros_like(w), 0.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        vw = 0.9 * vw - 1.0 * (x.T @ (p - y) / len(y) + l2 * w)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, value * w[col], len(y)) + b, -30, 30)))
+        vw = 0.9 * vw - 1.0 * (np.bincount(col, value * (p - y)[at], size) / len(y) + l2 * w)
         vb = 0.9 * vb - 1.0 * float((p - y).mean())
         w, b = w + vw, b + vb
     return w, b
@@ -197,18 +206,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             return Model([], bias=math.log((toxic + 1e-9) / (other + 1e-6)))
         least = max(3, 0.005 * toxic)
         ratio = (F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (other + 1))
-        counts = count_prefixes(some).filter((F.col("t") >= least) & (ratio >= math.exp(3))).orderBy(F.desc("t"), "prefix").limit(MOST_PREFIXES)
+        counts = count_prefixes(some).filter((F.col("t") >= least) & (ratio >= math.exp(3))).orderBy(F.desc("t"), "prefix")
         model = Model(lexicon([tuple(r) for r in counts.select("prefix", "t", "c", "whole").collect()], toxic, other))
         seen = some.select("doc_id", "toxic", _features(model)(F.col("text")).alias("f")).orderBy("doc_id", "toxic").collect()
     finally:
         some.unpersist()
     size = 2 * len(model.terms) + 4
-    # The same counts in the same texts are one row with a weight no more: the model sees sums only.
-    x, y = np.zeros((len(seen), size)), np.array([r["toxic"] for r in seen], float)
-    for i, r in enumerate(seen):
-        for f, v in (r["f"] or {}).items():
-            x[i, f] = v
-    model.weights, model.bias = _fit(x, y)
+    y = np.array([r["toxic"] for r in seen], float)
+    cells = [(i, f, v) for i, r in enumerate(seen) for f, v in (r["f"] or {}).items()]
+    at, col, value = (np.array([c[k] for c in cells], t) for k, t in enumerate((np.int64, np.int64, float)))
+    model.weights, model.bias = _fit(at, col, value, y, size)
     return model
 
 

@@ -408,6 +408,17 @@ def test_automaton_finds_one_edit():
         assert trie.matches(w) == want, w
 
 
+def test_lexicon_keeps_all_terms():
+    counts = [(a + b + c + "x", 10, 0, 10) for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
+    assert len(toxicity.lexicon(counts, 100, 100)) == len(counts) == 512
+
+
+def test_masked_words():
+    m = toxicity.Model(["stupid", "lowei*"])
+    assert m.look('"st*pid,') == [(0, 1)] and m.look("l@weib") == [(1, 1)]
+    assert m.look("stupid-stupid") == [(0, 0), (0, 0)] and m.look("lowei-x") == [(1, 0)] and m.look("well-known") == []
+
+
 def test_toxicity_learns_and_scores(spark):
     r = random.Random(6)
     rows, labels = [(0, None), (1, ""), (2, "x " * 30_000)], []
