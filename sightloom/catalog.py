@@ -331,15 +331,21 @@ def scene_index(spark: SparkSession, sf: str) -> DataFrame:
     return nodes.unionByName(edges)
 
 
+def evidence_statistics(rows: dict[str, DataFrame]) -> dict[str, dict]:
+    """What the cost plan knows of each view, counted over its rows: a row to the driver for each view, and one a label."""
+    known = {view: stats.view_stats(df, text="text").first().asDict() for view, df in rows.items()}
+    known["target"]["label_counts"] = {r["label"]: r["n"] for r in stats.label_counts(rows["target"], "label", "id").collect()}
+    return known
+
+
 def question_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """The best scopes and targets for a question, by its plan and the views' costs."""
     s = views.scopes(caption_segments(spark, sf))
     t = views.targets(s)
     plan = planner.plan("Which vehicle appears near the traffic light?")
-    known = {"scope": {"row_count": 1000, "avg_text_tokens": 12}, "target": {"row_count": 3000, "avg_text_tokens": 25, "label_counts": {"car": 500, "traffic light": 300}}}
-    chosen = cost.choose(plan, known)
-    words = frozenset(plan.terms)
     rows = {"scope": s, "target": t}
+    chosen = cost.choose(plan, evidence_statistics(rows))
+    words = frozenset(plan.terms)
     out = None
     for view in chosen.order:
         hits = retrieval.top(view, rows[view], words, chosen.rows[view])
