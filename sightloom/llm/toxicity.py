@@ -33,8 +33,6 @@ LEAST, MOST = 4, 10
 CONTEXT = 6
 CLEAN_WORDS = 1_000_000
 LETTERS = re.compile(r"[^\W_]+")
-#: A word with punctuation between its first and last letter.
-MASKED = re.compile(r"[^\W_](?:.*[\W_].*)[^\W_]")
 QUOTES = frozenset('"“”„«»‘’‹›')
 #: Words of reporting: beside them a term is more likely quoted than used.
 REPORTING = frozenset("said says wrote quote quoted quotes called calling word term slur dit écrit zitat sagte schrieb dijo escribió".split())
@@ -105,11 +103,13 @@ class Model:
         if self.trie is None:
             self.trie = Trie(self.terms)
         low = word.lower()
-        found = [m for part in LETTERS.findall(low) if len(part) >= LEAST - 1 for m in self.trie.matches(part).items()]
-        if inner := MASKED.search(low):
+        parts = LETTERS.findall(low)
+        found = [m for part in parts if len(part) >= LEAST - 1 for m in self.trie.matches(part).items()]
+        if len(parts) > 1:
             # Punctuation within a word may stand for a letter of a term: the whole is looked at for terms that no part has.
             known = {k for k, _ in found}
-            found += [m for m in self.trie.matches(inner[0]).items() if m[0] not in known]
+            inner = low[low.index(parts[0]) : low.rindex(parts[-1]) + len(parts[-1])]
+            found += [m for m in self.trie.matches(inner).items() if m[0] not in known]
         return found
 
     def findings(self, text: str) -> list[tuple[int, int, bool]]:
