@@ -2,7 +2,7 @@ r"""Personal data: fixed patterns, and a linear-chain conditional random field o
 
 The base finds emails, IP addresses, payment cards and phone numbers by pattern. The field adds secrets (tokens,
 passwords, access keys): it labels the tokens around everything that could be one (a token of MIN_VALUE or more letters
-and digits that mixes the two, or a token right after a key word and = or :), with O, B and I, and Viterbi decoding finds
+and digits that mixes the two, or what stands right after one of KEYS and = or :), with O, B and I, and Viterbi decoding finds
 the best labels for many windows at once in numpy. Its features are word shapes, lengths, classes of characters and key
 words, of a token and its neighbours; it is trained by gradient ascent on a small labelled table, labelled_table() unless
 another is given. A base span that overlaps one of the field's makes the latter go.
@@ -80,7 +80,7 @@ MIN_VALUE = 8
 #: Words that stand before secrets.
 KEYS = frozenset("password passwd pwd pass token secret apikey api_key api-key key access_key secret_key auth bearer credential aws_access_key_id".split())
 _DIGIT_RUN = re.compile(r"[A-Za-z0-9_+/-]*[0-9][A-Za-z0-9_+/-]*")
-_KEY_VALUE = re.compile(r"(?:password|passwd|pwd|token|secret|api[_-]?key|auth)\s?[=:]\s?[\"']?([A-Za-z0-9_+/-]{4,})", re.I)
+_KEY_VALUE = re.compile(r"(?:api[_-]?key|" + "|".join(map(re.escape, sorted(KEYS, key=lambda k: (-len(k), k)))) + r")\s?[=:]\s?[\"']?([^\s\"'<>,;]{4,})", re.I)
 SIDE, FEATURES, LABELS = 4, 1 << 12, 3
 
 
@@ -229,6 +229,8 @@ def labelled_table(seed: int = 7) -> list[tuple[list[str], list[int]]]:
     for _ in range(240):
         look = r.choice([f"{word()}{r.randint(1, 99)}", f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{word()}-{r.randint(1, 2000)}-{word()}", f"v{r.randint(1, 9)}_{r.randint(0, 9)}_{word()}", f"{word()}_{word()}{r.randint(1, 9)}", pick(dig, r.randint(8, 20)), f"{word()}{r.randint(100, 999)}{word()}", f"{r.randint(1, 9)}x{r.randint(1, 9)}{word()}", f"+1 ({pick(dig, 3)}) {pick(dig, 3)}-{pick(dig, 4)}", f"{word()}.{r.randint(1, 99)}@{word()}{r.randint(0, 9)}.example.com", f"{r.choice(sorted(KEYS))} {word()}", word()])
         add(f"{words(5)} {look} {words(5)}", "", "")
+    for _ in range(60):  # values with other characters
+        add(f"{words(4)} {key()}{r.choice(['=', ' = ', ': ', ':'])}", pick(low, r.randint(2, 7)) + r.choice("!#$%&*@?^~") + pick(low, r.randint(2, 7)) + pick(dig, r.randint(0, 3)), f" {words(3)}")
     return out
 
 
@@ -236,11 +238,18 @@ def default_crf() -> Crf:
     return train(labelled_table())
 
 
+def key_values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands after a key word and = or :, to the next white space, quote or , ; < >, without final punctuation."""
+    if "=" not in text and ":" not in text:
+        return []
+    found = [(m.start(1), m.start(1) + len(m[1].rstrip(".:!?()[]{}"))) for m in _KEY_VALUE.finditer(text)]
+    return [(s, e) for s, e in found if e - s >= 4]
+
+
 def windows(text: str) -> list[list[tuple[str, int, int]]]:
     """Token windows (token, start, end) around everything that could be a secret; near ones are one window."""
     spots = [(m.start(), m.end()) for m in _DIGIT_RUN.finditer(text) if m.end() - m.start() >= MIN_VALUE and any(c.isalpha() for c in m[0])]
-    if "=" in text or ":" in text:
-        spots += [m.span(1) for m in _KEY_VALUE.finditer(text)]
+    spots += key_values(text)
     out: list[list[tuple[str, int, int]]] = []
     done = 0
     for s, e in sorted(spots):
@@ -273,7 +282,21 @@ def secret_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int]]]:
                     out[k] += [span] if span else []
                     span = (s, e) if y == 1 else None
             out[k] += [span] if span else []
-    return [sorted(set(x)) for x in out]
+    return [_widened(t, x) for t, x in zip(texts, out, strict=True)]
+
+
+def _widened(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, each with the whole of the key's value that it is in: a value of several tokens is one secret.
+
+    Elsewhere, a span without a letter or digit is punctuation.
+    """
+    values = key_values(text) if spans else []
+    out = set()
+    for s, e in spans:
+        own = next(((min(s, a), max(e, b)) for a, b in values if s < b and a < e), None)
+        if own or any(c.isalnum() for c in text[s:e]):
+            out.add(own or (s, e))
+    return sorted(out)
 
 
 def all_spans(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]]:

@@ -375,6 +375,18 @@ def test_crf(spark):
     assert pii.reported(empty(spark), crf).count() == 0
 
 
+def test_every_key_word_gives_candidates():
+    for key in sorted(pii.KEYS):
+        for sep in ("=", ": "):
+            text = f"so {key}{sep}correcthorse, then"
+            assert [t for w in pii.windows(text) for t, s, _ in w if s == text.index("correct")] == ["correcthorse"], text
+    crf = pii.default_crf()
+    texts_ = ["the password=pass!word9 is it", "my password: abcde#fgh77.", "password=hunter99 and token=abcd1234efgh5678"]
+    got = [[t[s:e] for s, e in x] for t, x in zip(texts_, pii.secret_spans(texts_, crf), strict=True)]
+    assert got == [["pass!word9"], ["abcde#fgh77"], ["hunter99", "abcd1234efgh5678"]]
+    assert pii._widened("x ### y", [(2, 5)]) == []
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(0)
     scores, move = r.normal(size=(1, 5, 3)), r.normal(size=(3, 3))
