@@ -51,11 +51,30 @@ def top(view: str, rows: DataFrame, words: frozenset[str], limit: int, videos: l
 
 
 def top_for_all(view: str, rows: DataFrame, questions: DataFrame, limit: int) -> DataFrame:
-    """The best rows of a view for many questions at once (query_id, words array): shared words by an equi-join."""
+    """The best rows of a view for many questions at once (query_id, words array): shared words by an equi-join.
+
+    Of a scope with scene_tags or transcript these count as in score(); other views' rows count by words alone.
+    """
+    tagged, spoken = (view == "scope" and c in rows.columns for c in ("scene_tags", "transcript"))
     q = questions.select("query_id", F.size("words").alias("q"), F.explode(F.array_distinct("words")).alias("word"))
-    words = rows.select("id", F.explode(F.array_distinct("tokens")).alias("word"))
+    tokens = F.concat("tokens", T.tokenize(F.array_join("scene_tags", " "))) if tagged else F.col("tokens")
+    words = rows.select("id", F.explode(F.array_distinct(tokens)).alias("word"))
     both = words.join(q, "word").groupBy("query_id", "id").agg((F.count("*") / F.max("q")).alias("score"))
+    if tagged:
+        tags = rows.select("id", F.explode(F.array_distinct("scene_tags")).alias("word"))
+        hit = tags.join(q, "word").select("query_id", "id", F.lit(0.25).alias("score")).distinct()
+        both = both.unionByName(hit).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+    if spoken:
+        asked = questions.filter(F.arrays_overlap("words", T.literal(SPEECH))).select("query_id").distinct()
+        said = rows.filter(F.trim("transcript") != "").select("id")
+        # Rows that have nothing but the transcript tie, so that of these the first by id are enough.
+        first = asked.join(F.broadcast(said.orderBy("id").limit(limit)), how="cross").select("query_id", "id", F.lit(0.0).alias("score"))
+        both = both.unionByName(first).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+        both = both.join(asked.withColumn("_asked", F.lit(True)), "query_id", "left").join(said.withColumn("_said", F.lit(True)), "id", "left")
+        both = both.select("query_id", "id", (F.col("score") + F.when(F.col("_asked") & F.col("_said"), 0.35).otherwise(0.0)).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    if tagged or spoken:
+        both = both.withColumn("score", F.round("score", 9))
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(F.lit(view).alias("view"), "query_id", "id", "score", "rank")
 
 

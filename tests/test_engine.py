@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightloom import lexicons as L
 from sightloom.functions import geometry as G
 from sightloom.functions import text as T
-from sightloom.operators import adaptive, packing, stats, temporal, views, visual
+from sightloom.operators import adaptive, packing, retrieval, stats, temporal, views, visual
 from sightloom.plans import cost, planner
 from sightloom.sources import stores
 from sightloom.streaming import windows
@@ -210,3 +210,14 @@ def test_stream_equals_batch(spark, tmp_path):
     done = {(r.start, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {(r.start, r.n) for r in windows.tumbling(df).collect()}
     assert done < batch and len(batch) - len(done) == 1
+
+
+def test_many_questions_rank_as_one(spark):
+    r = random.Random(4)
+    rows = [(f"scope:{k:02d}", "v", r.choices(["red", "car", "say", "stage"], k=3), r.sample(["traffic", "stage", "crowd"], r.randint(0, 2)), r.choice(["", " ", "well then"])) for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, video string, tokens array<string>, scene_tags array<string>, transcript string")
+    asked = {"a": ["red", "car"], "b": ["say", "crowd", "dog"], "c": ["said", "unseen"], "d": ["traffic", "stage", "talk"]}
+    got = retrieval.top_for_all("scope", df, spark.createDataFrame(list(asked.items()), "query_id string, words array<string>"), 6).collect()
+    for q, words in asked.items():
+        one = [(x.id, x.score) for x in retrieval.top("scope", df, frozenset(words), 6).collect()]
+        assert one and [(x.id, x.score) for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == q] == one
