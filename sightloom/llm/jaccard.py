@@ -9,15 +9,18 @@ a document whose prefix holds fewer shared tokens than that has no partner. Orde
    class from here on. A task knows the tokens that several classes of its batch have; of each such token it sends one
    entry on, so that no token has more entries in a shuffle than there are batches.
 2. Tokens that only one class has in its prefix go, then classes with too few tokens left.
-3. The survivors' sets are made from their texts. The filters are intersected pair by pair: a candidate pair must share
-   the required number of tokens in its prefixes under every other order too, before anything is verified.
-4. Candidates. Each token's group is a star: its members against one leader, so that a group of m classes gives m - 1
-   candidates. Verified links merge components, and tokens whose classes are all in one component are done (RINGS
-   rounds with different leaders). What is left then are pairs of different components that share a prefix token; these
-   are compared one by one, after the bounds of sizes and of a parity sketch (two sets differ in at least as many tokens
-   as their sketches in bits). Pairs within a component never come up again, which keeps large groups of near copies
-   linear.
-5. A pair is verified on whole sets: 100 * intersection >= 100 t * union.
+3. The survivors' sets are made from their texts, once, with what later steps look at: prefixes under the other orders,
+   parity sketches, and heads (keys of the first tokens under several orders each).
+4. Candidates come in rounds, and are pairs of different components only. Rounds of heads: classes with one head are a
+   star, so that m near copies give m - 1 candidates. Then tokens whose classes are all in one component are done; of
+   the others, a pair needs one among its first n - ceil(t n) + 1. Rounds of first tokens: classes meet by one open
+   token each, another one each round, and of each pair of components one pair is a candidate. They go on while they join
+   components in number. What is left then are pairs of different components that share an open token, and all of these
+   are compared. Pairs within a component never come up, which keeps large groups of near copies linear.
+5. A candidate must pass the bounds of sizes and parity sketches (two sets differ in at least as many tokens as their
+   sketches in bits), and share L tokens in its prefixes under every other order too: the orders' filters are intersected
+   on these short columns, before any set moves.
+6. A pair that is left is verified on whole sets: 100 * intersection >= 100 t * union.
 
 Rows with equal sets are never expanded into pairs; a row's component is its class's.
 
@@ -47,7 +50,14 @@ ORDERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 PLACES = tuple(pow(0x5851F42D4C957F2D, k + 1, 1 << 64) | 1 for k in range(16))
 SKETCH_LONGS = 8
-RINGS = 3
+MIX_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: How many heads each of the first rounds looks at.
+HEADS = (2, 4, 8)
+#: Orders of one head.
+HEAD_ORDERS = 3
+FURTHER = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(HEAD_ORDERS * sum(HEADS))]
+#: Rounds of first tokens go on while they join one in so many of the open components.
+WORTH = 1000
 BROADCAST_IDS = 500_000
 KNOWN_WORDS = 500_000
 
@@ -126,8 +136,40 @@ def differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _differ(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([differ(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.int64())
+def rest_of_order(toks: np.ndarray, order: int) -> bytes:
+    """The prefix under an order, as sorted 32-bit remainders of its tokens."""
+    return np.sort((prefix(toks, order) >> np.uint64(16)).astype(np.uint32)).tobytes()
+
+
+def shared_at_most(a: bytes, b: bytes) -> int:
+    """How many tokens two prefixes share, at most: those of one whose remainder the other has."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if not len(x) or not len(y):
+        return 0
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def heads(toks: np.ndarray) -> np.ndarray:
+    """sum(HEADS) keys; each is of the first tokens under HEAD_ORDERS further orders."""
+    firsts = np.array([(toks * m).min() for m in FURTHER], np.uint64).reshape(-1, HEAD_ORDERS)
+    out = np.arange(len(firsts), dtype=np.uint64)
+    for first in firsts.T:
+        out = _mixed(out * MIX_STEP + first)
+    return out
+
+
+def may_link(n: tuple[int, int], wide: tuple[bytes, bytes], *others: tuple[bytes, bytes]) -> bool:
+    """Whether the prefix filters of all other orders and the wide sketches allow a link of two sets of sizes n."""
+    least = min(map(reserve, n))
+    if any(shared_at_most(x, y) < least for x, y in others):
+        return False
+    return differ(*wide) * (100 + PERCENT) <= (100 - PERCENT) * sum(n)
+
+
+def _may_link(*cols: pa.Array) -> pa.Array:
+    pairs = [list(zip(a.to_pylist(), b.to_pylist(), strict=True)) for a, b in zip(cols[::2], cols[1::2], strict=True)]
+    return pa.array([may_link(*row) for row in zip(*pairs, strict=True)], pa.bool_())
 
 
 def _longs(lists: list[np.ndarray]) -> pa.Array:
@@ -164,7 +206,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), _longs(shared), _longs(sent)], ["doc_id", *[x.split()[0] for x in PROFILE.split(", ")]])
 
 
-SETS = "sid long, n long, toks array<long>, bits array<long>, wide binary"
+SETS = "sid long, n long, cut long, toks array<long>, bits array<long>, heads array<long>, wide binary, second binary, third binary"
 
 
 def _fingerprints(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -177,7 +219,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows that share an id need not share a set.
         own = np.flatnonzero(_fingerprints(sets)[0] == b.column("sid").to_numpy())
         sets = [sets[k] for k in own]
-        yield pa.RecordBatch.from_arrays([b.column("sid").take(pa.array(own)), pa.array([len(s) for s in sets], pa.int64()), _longs(sets), _longs([sketch(s).view(np.uint64) for s in sets]), pa.array([wide_sketch(s) for s in sets], pa.binary())], [x.split()[0] for x in SETS.split(", ")])
+        # cut: the last of the tokens one of which a partner has among its own such tokens.
+        cuts = np.array([s[len(s) - needed(len(s))] for s in sets], np.uint64).view(np.int64)
+        cols = [b.column("sid").take(pa.array(own)), pa.array([len(s) for s in sets], pa.int64()), pa.array(cuts), _longs(sets)]
+        cols += [_longs([sketch(s).view(np.uint64) for s in sets]), _longs([heads(s) for s in sets]), pa.array([wide_sketch(s) for s in sets], pa.binary())]
+        cols += [pa.array([rest_of_order(s, o) for s in sets], pa.binary()) for o in ORDERS[1:]]
+        yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SETS.split(", ")])
 
 
 def _reserve(n: Column) -> Column:
@@ -188,6 +235,11 @@ def _needed(n: Column) -> Column:
     return F.ceil(n * PERCENT / 100)
 
 
+def _rank(token: str) -> Column:
+    """The place of a token in the first order: tokens are unsigned, and longs here are not."""
+    return F.col(token).bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """sid, n, toks: each class's prefix tokens that other classes have, for classes with enough of them."""
     w = Window.partitionBy("token")
@@ -200,11 +252,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets link: they must share enough tokens in their prefixes under every further order, then in all."""
-    least = min(reserve(len(a)), reserve(len(b)))
-    for order in ORDERS[1:]:
-        if len(np.intersect1d(prefix(a, order), prefix(b, order), assume_unique=True)) < least:
-            return False
+    """Whether two sets link."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
@@ -215,19 +263,29 @@ def _links(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, tables: Stashes) -> DataFrame:
-    """The pairs (a, b) that pass the bounds, then the filters of all other orders, and then link.
+    """The pairs (a, b) that pass the bounds and the filters of all orders, and then link.
 
-    Bounds come first, on sizes and sketches alone: few pairs need their whole sets moved.
+    Filters come first, on short columns alone: few pairs need their whole sets moved.
     """
-    small = lambda k, p: sets.select(F.col("sid").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "bits", "wide")])
-    off = F.arrow_udf(_differ, "long")(F.col("x_wide"), F.col("y_wide"))
-    near = pairs.join(small("a", "x"), "a").join(small("b", "y"), "b").filter(_close()).withColumn("off", off)
-    near = tables.put("near", near.filter(F.col("off") * (100 + PERCENT) <= (100 - PERCENT) * (F.col("x_n") + F.col("y_n"))).select("a", "b"))
+    short = ("n", "bits", "wide", "second", "third")
+    small = lambda k, p: sets.select(F.col("sid").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in short])
+    both = [F.col(f"{p}_{c}") for c in ("n", "wide", "second", "third") for p in "xy"]
+    near = pairs.join(small("a", "x"), "a").join(small("b", "y"), "b").filter(_close()).filter(F.arrow_udf(_may_link, "boolean")(*both))
+    near = tables.put("near", near.select("a", "b"))
     whole = lambda k: sets.select(F.col("sid").alias(k), F.col("toks").alias(f"{k}_toks"))
     said = F.arrow_udf(_links, "boolean")(F.col("a_toks"), F.col("b_toks"))
     return tables.put("edges", near.join(whole("a"), "a").join(whole("b"), "b").filter(said).select("a", "b"))
 
 
+def _stars(entries: DataFrame, turn: int) -> DataFrame:
+    """Candidates (a, b) from entries (token, sid, comp): of each token's components one member each meets one of the
+    component with most members."""
+    one = entries.groupBy("token", "comp").agg(F.min_by("sid", F.xxhash64("sid", F.lit(turn))).alias("sid"), F.count("*").alias("c"))
+    first = one.groupBy("token").agg(F.count("*").alias("k"), F.max_by(F.struct("sid", "comp"), F.struct("c", "sid")).alias("l")).filter("k > 1")
+    pairs = one.join(first.select("token", "l"), "token").filter(F.col("comp") != F.col("l.comp"))
+    return pairs.select(F.least("sid", "l.sid").alias("a"), F.greatest("sid", "l.sid").alias("b")).distinct()
+
+
 def _close() -> Column:
     """Whether sizes and sketches of two entries (x, y) allow a link."""
     differ = None
@@ -239,6 +297,18 @@ def _close() -> Column:
     return sizes & (differ * (100 + PERCENT) <= (100 - PERCENT) * (F.col("x_n") + F.col("y_n")))
 
 
+def _meeting(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, x_comp, y_comp of pairs of entries (token, sid, comp) of different components that share a token and pass
+    the bounds of sizes and sketches. A pair comes up for each token that it shares, but not for one whose forerunner it
+    shares, too."""
+    before = F.lag("token").over(Window.partitionBy("sid").orderBy("token"))
+    group = entries.withColumn("before", F.coalesce(before, "token")).join(sets.select("sid", "n", "bits"), "sid")
+    x, y = (group.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("sid", "comp", "n", "bits", "before")]) for p in "xy")
+    new = (F.col("x_before") != F.col("y_before")) | (F.col("x_before") == x["token"])
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("x_comp") < F.col("y_comp")) & new & _close())
+    return met.select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"), "x_comp", "y_comp")
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n, sid and check (fingerprints of the set), and the prefix under the first order, of each row."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -263,26 +333,27 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if sets.count() > left.count():  # an id stands in several rows
         sets = tables.put("sets", sets.dropDuplicates(["sid"]))
     labels = tables.put("labels", sets.select(F.col("sid").alias("node"), F.col("sid").alias("comp")))
-    open_ = first.select(F.explode("toks").alias("token"), "sid", F.col("sid").alias("comp"))
-    done = None
-    for ring in range(RINGS + 1):
-        ends = open_.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("two"), F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", F.lit(ring))).alias("l")).filter("one <> two")
-        group = open_.join(ends.select("token", "l"), "token")
-        if ring == RINGS:
-            group = tables.put("last", group.select("token", "sid", "comp"))
-            break
-        pairs = group.filter(F.col("comp") != F.col("l.comp")).select(F.least("sid", "l.sid").alias("a"), F.greatest("sid", "l.sid").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = tables.put(f"pairs{ring}", pairs)
+    of = lambda rows: rows.join(labels, F.col("sid") == labels["node"]).select("token", "sid", "comp")
+    for turn, many in enumerate(HEADS):
+        entries = of(sets.select("sid", F.explode(F.slice("heads", sum(HEADS[:turn]) + 1, many)).alias("token")))
+        pairs = tables.put("pairs", _stars(entries, turn))
         if not pairs.isEmpty():
             labels = merge(labels, _verified(pairs, sets, tables), tables)
-            done = pairs if done is None else done.unionByName(pairs)
-        open_ = tables.put("open", group.select("token", "sid").join(labels, F.col("sid") == labels["node"]).select("token", "sid", "comp"))
-    group = group.join(sets.select("sid", "n", "bits"), "sid")
-    x, y = (group.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("sid", "comp", "n", "bits")]) for p in "xy")
-    rest = x.join(y, (x["token"] == y["token"]) & (F.col("x_comp") < F.col("y_comp")) & _close()).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
-    rest = tables.put("rest", rest if done is None else rest.join(done, ["a", "b"], "left_anti"))
+    open_ = first.select("sid", F.explode("toks").alias("token")).join(sets.select("sid", "cut"), "sid").filter(_rank("token") <= _rank("cut"))
+    turn = len(HEADS)
+    while True:
+        entries = of(open_.select("token", "sid"))
+        ends = entries.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).filter("one <> two").select("token")
+        open_ = tables.put("open", entries.join(ends, "token"))
+        if turn < 0:
+            break
+        firsts = open_.groupBy("sid").agg(F.min_by("token", F.xxhash64("token", F.lit(turn))).alias("token"), F.min("comp").alias("comp"))
+        some = _meeting(firsts, sets).groupBy("x_comp", "y_comp").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b")
+        edges = _verified(tables.put("pairs", some), sets, tables)
+        joined, components = edges.count(), open_.select("comp").distinct().count()
+        labels = merge(labels, edges, tables)
+        turn = turn + 1 if joined and joined * WORTH >= components else -1
+    rest = tables.put("rest", _meeting(open_, sets).select("a", "b").distinct())
     if not rest.isEmpty():
         labels = merge(labels, _verified(rest, sets, tables), tables)
     labels = stash(labels, "jaccard-labels")

@@ -526,3 +526,27 @@ def test_pipeline_stages(spark, tmp_path):
 def test_vocabulary_is_json():
     with open(tokenizer_path(), encoding="utf-8") as f:
         assert json.load(f)["model"]["type"] == "BPE"
+
+
+def test_jaccard_hot_groups(spark):
+    r = random.Random(5)
+    common = [f"c{k}" for k in range(40)]
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(260):  # near copies of one text, some too far from each other; a passage that all documents hold
+        if k % 2:
+            words = [w if r.random() > 0.004 * (k % 9) else f"x{r.randrange(99)}" for w in base]
+        else:
+            words = [f"u{k % 40}-{i}" for i in range(60)] + common
+        rows.append((k, " ".join(words)))
+    rows += [(None, " ".join(base)), (7, "other words under a number that is there already"), (7, "other words under a number that is there already")]
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert len(got) == len(rows)
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    brute = brute_jaccard(numbered)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        c = brute[k][1]
+        if i is not None:
+            low[c] = min(low.get(c, i), i)
+    assert got == sorted(((i, brute[k][0], low.get(brute[k][1])) for k, (i, _) in enumerate(rows)), key=str)
