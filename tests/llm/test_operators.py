@@ -486,8 +486,22 @@ def test_suffix_dedup_with_null_ids(spark):
     want = brute_spans([t.encode() for _, t in rows])
     assert want[2][1] >= 400 and want[5][1] >= 250
     got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x.doc_id: tuple(x)[1:] for x in got if x.doc_id is not None} == {i: w for (i, _), w in zip(rows, want, strict=True) if i is not None}
-    assert sorted((x.n_bytes, x.n_removed) for x in got if x.doc_id is None) == [(451, 0), (700, 0), (900, 0)]
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=str)
+
+
+@pytest.mark.parametrize(("key_bytes", "ids"), [(500_000, 500_000), (400, 3)])
+def test_suffix_dedup_of_a_frequent_passage(spark, monkeypatch, key_bytes, ids):
+    """One passage in all texts, at different places and in surroundings that partly repeat; as small keys, and as large."""
+    monkeypatch.setattr(suffix_dedup, "KEY_BYTES", key_bytes)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", ids)
+    r = random.Random(21)
+    say = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage, lead, tail = say(420), [say(40) for _ in range(4)], [say(25) for _ in range(3)]
+    rows = [(f"d{k // 2}", say(r.randint(0, 150)) + r.choice(lead)[r.randint(0, 39) :] + passage[r.randint(0, 9) :] + r.choice(tail)[: r.randint(0, 25)] + say(r.randint(0, 90))) for k in range(60)]
+    rows += [rows[3], (None, passage), (None, "ab" * 200 + passage), ("long", say(30_000) + passage + "x" * 3000)]
+    want = brute_spans([t.encode() for _, t in rows])
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=str)
 
 
 def test_merge_of_shards_in_small():
@@ -495,7 +509,7 @@ def test_merge_of_shards_in_small():
     for _ in range(30):
         segments = [bytes(r.choice(b"ab") for _ in range(r.randint(8, 30))) for _ in range(r.randint(1, 6))]
         keys = [r.randint(0, 1) for _ in segments]
-        got = suffix_dedup.merged_repeats(segments, keys, 8)
+        got = suffix_dedup.merged_repeats(segments, keys, [r.randint(0, 3) for _ in segments], 8)
         seen = Counter((k, s[i : i + 8]) for s, k in zip(segments, keys, strict=True) for i in range(len(s) - 7))
         for s, k, g in zip(segments, keys, got, strict=True):
             assert g.tolist() == [seen[(k, s[i : i + 8])] > 1 for i in range(len(s) - 7)]
