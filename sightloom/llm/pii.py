@@ -7,8 +7,9 @@ the best labels for many windows at once in numpy. Its features are word shapes,
 words, of a token and its neighbours; it is trained by gradient ascent on a small labelled table, labelled_table() unless
 another is given. A base span that overlaps one of the field's makes the latter go.
 
-Edge cases: null and empty texts have no spans; texts of any length are read whole; repeated rows are reported each;
-other columns are ignored; an empty table gives an empty result. Offsets are code points, end exclusive.
+Edge cases: null and empty texts have no spans; texts of any length are read whole, in time that follows their length;
+leading zeros of an ip's parts do not count; repeated rows and repeated or null ids are reported each; other columns are
+ignored; an empty table gives an empty result. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -16,16 +17,20 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed patterns of the base.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Fixed patterns of the base: an email's characters before its @, and what follows that. A match takes whole runs of
+#: digits and of such characters, so that trying from the first of a run is enough, and long runs cost no more than once.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -45,23 +50,19 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-_CHUNK = re.compile(r"[A-Za-z0-9._%+@-]+")
-
-
 def base_spans(text: str) -> list[Span]:
     """(start, kind, end) of the base patterns' matches that pass their tests."""
     out: list[Span] = []
-    at = text.find("@")
+    done, at = 0, text.find("@")
     while at >= 0:
-        # An email holds none but these characters, so its run of them is all that has to be searched.
-        first = at
-        while first > 0 and text[first - 1] in _EMAIL_CHARS:
-            first -= 1
-        last = _CHUNK.match(text, at).end()
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text, first, last)]
-        at = text.find("@", last)
+        first = done + len(text[done:at].rstrip(LOCAL))
+        found = DOMAIN.match(text, at + 1) if first < at else None
+        if found:
+            out.append((first, 0, found.end()))
+        done = found.end() if found else at + 1
+        at = text.find("@", done)
     if re.search("[0-9]", text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             # Longer runs fail without counting.
             if m.end() - m.start() <= 37 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -71,15 +72,16 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
-
 # --- the field
 
 TOKEN = re.compile(r"[A-Za-z0-9_+/-]+|[^\sA-Za-z0-9_+/-]")
 MIN_VALUE = 8
 #: Words that stand before secrets.
 KEYS = frozenset("password passwd pwd pass token secret apikey api_key api-key key access_key secret_key auth bearer credential aws_access_key_id".split())
-_DIGIT_RUN = re.compile(r"[A-Za-z0-9_+/-]*[0-9][A-Za-z0-9_+/-]*")
+_RUN = re.compile(rf"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{MIN_VALUE},}}+")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+#: Cells (windows by tokens of the longest) that are decoded at once.
+CELLS = 200_000
 _KEY_VALUE = re.compile(r"(?:api[_-]?key|" + "|".join(map(re.escape, sorted(KEYS, key=lambda k: (-len(k), k)))) + r")\s?[=:]\s?[\"']?([^\s\"'<>,;]{4,})", re.I)
 SIDE, FEATURES, LABELS = 4, 1 << 12, 3
 
@@ -248,7 +250,7 @@ def key_values(text: str) -> list[tuple[int, int]]:
 
 def windows(text: str) -> list[list[tuple[str, int, int]]]:
     """Token windows (token, start, end) around everything that could be a secret; near ones are one window."""
-    spots = [(m.start(), m.end()) for m in _DIGIT_RUN.finditer(text) if m.end() - m.start() >= MIN_VALUE and any(c.isalpha() for c in m[0])]
+    spots = [(m.start(), m.end()) for m in _RUN.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
     spots += key_values(text)
     out: list[list[tuple[str, int, int]]] = []
     done = 0
@@ -267,8 +269,14 @@ def secret_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int]]]:
     """(start, end) of the secrets in each text; windows of all texts are decoded together."""
     found = [(k, w) for k, t in enumerate(texts) if any(c in t for c in "0123456789=:") for w in windows(t)]
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for first in range(0, len(found), 4096):
-        part = found[first : first + 4096]
+    found.sort(key=lambda x: (len(x[1]), x[0], x[1][0][1]))
+    first = 0
+    while first < len(found):
+        # Windows of similar length go together, as many as CELLS allow, or one.
+        last = first + 1
+        while last < len(found) and (last + 1 - first) * len(found[last][1]) <= CELLS:
+            last += 1
+        part, first = found[first:last], last
         lengths = np.array([len(w) for _, w in part])
         scores = np.zeros((len(part), lengths.max(), LABELS))
         for i, (_, w) in enumerate(part):
@@ -282,7 +290,7 @@ def secret_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int]]]:
                     out[k] += [span] if span else []
                     span = (s, e) if y == 1 else None
             out[k] += [span] if span else []
-    return [_widened(t, x) for t, x in zip(texts, out, strict=True)]
+    return [_widened(t, sorted(x)) for t, x in zip(texts, out, strict=True)]
 
 
 def _widened(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -291,9 +299,11 @@ def _widened(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     Elsewhere, a span without a letter or digit is punctuation.
     """
     values = key_values(text) if spans else []
+    ends = [b for _, b in values]
     out = set()
     for s, e in spans:
-        own = next(((min(s, a), max(e, b)) for a, b in values if s < b and a < e), None)
+        k = bisect_right(ends, s)
+        own = (min(s, values[k][0]), max(e, values[k][1])) if k < len(values) and values[k][0] < e else None
         if own or any(c.isalnum() for c in text[s:e]):
             out.add(own or (s, e))
     return sorted(out)
@@ -304,7 +314,9 @@ def all_spans(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]]
     out = []
     for text, more in zip(texts, secret_spans(texts, crf), strict=True):
         base = base_spans(text)
-        free = [(s, 4, e) for s, e in more if not any(a < e and s < b for a, _, b in base)]
+        # Starts by place, and the furthest end of all spans up to each: a span overlaps one that starts before its end.
+        starts, tops = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+        free = [(s, 4, e) for s, e in more if not (k := bisect_left(starts, e)) or tops[k - 1] <= s]
         out.append((base, sorted([*base, *free])))
     return out
 

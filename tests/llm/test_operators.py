@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -344,13 +345,53 @@ def test_decision_list_learns_thresholds():
 
 
 # --- 1
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+
+
+def brute_report(t):
+    """The contract's counts and digest of one text."""
+    t = t or ""
+    spans = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
+    spans += [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+    spans += [(m.start(), 2, m.end()) for m in pii.CARD.finditer(t) if 14 <= len(pii._digits(m[0])) <= 19 and pii.luhn(pii._digits(m[0]))]
+    spans += [(m.start(), 3, m.end()) for m in pii.PHONE.finditer(t) if 10 <= len(pii._digits(m[0])) <= 15]
+    said = ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+    return (*(sum(k == x for _, x, _ in spans) for k in range(4)), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_pii_report(spark):
+    r = random.Random(14)
+    parts = ["a.b@c.de", "@", "4111 1111 1111 1111", "+1 (624) 555-2408", "10.0.0.1", "300.1.1.1", "0" * 30 + "9.1.2.3", ".", "é", "\n", "token=abcd1234efgh5678", "plain words"]
+    rows = [(k % 30, r.choice(["", " "]).join(r.choice(parts) for _ in range(r.randint(0, 12)))) for k in range(60)]
+    rows += [(None, "mail x@y.zz"), (None, None), (3, ""), rows[5], (7, "0" * 5000 + ".1.1.1")]
+    got = pii.reported(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    mine = sorted(((x.doc_id, x.n_email, x.n_ip, x.n_card, x.n_phone, x.base_sha256) for x in got), key=str)
+    assert mine == sorted(((i, *brute_report(t)) for i, t in rows), key=str)
+    for x in got:  # the field adds spans; base ones stay
+        base = [s for s in x.spans.split(",") if s and not s.startswith("secret")]
+        assert hashlib.sha256(",".join(base).encode()).hexdigest() == x.base_sha256
+
+
+def test_pii_takes_time_in_proportion():
+    n = 200_000
+    crf = pii.Crf(np.zeros((pii.FEATURES, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)))
+    long = ["a" * n + "@", "1" * n, "1." * n, "+" * n, "+1" + "(" * n, "a@" * n, "a1" * n, "x" * n + " 1", "password=" + "!" * n, "a@b.c " * (n // 6), "token=abcd1234 " * (n // 20)]
+    began = time.process_time()
+    for t in long:
+        pii.base_spans(t)
+        pii.windows(t)
+    pii.secret_spans([long[8], "token=abcd1234"], crf)
+    assert time.process_time() - began < 30
+
+
 def test_base_spans_match_the_patterns():
     r = random.Random(4)
     parts = ["a.b@c.de", "@", "x@y", " ", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (624) 555-2408", "+", "10.0.0.1", "300.1.1.1", "1.2.3.4.5", "12", ".", "-", "é", "\n", "foo"]
     for _ in range(1500):
         s = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
-        want = [(m.start(), 0, m.end()) for m in pii.EMAIL.finditer(s)]
-        want += [(m.start(), 1, m.end()) for m in pii.IP.finditer(s) if all(int(p) <= 255 for p in m[0].split("."))]
+        want = [(m.start(), 0, m.end()) for m in EMAIL.finditer(s)]
+        want += [(m.start(), 1, m.end()) for m in IP.finditer(s) if all(int(p) <= 255 for p in m[0].split("."))]
         want += [(m.start(), 2, m.end()) for m in pii.CARD.finditer(s) if 14 <= len(pii._digits(m[0])) <= 19 and pii.luhn(pii._digits(m[0]))]
         want += [(m.start(), 3, m.end()) for m in pii.PHONE.finditer(s) if 10 <= len(pii._digits(m[0])) <= 15]
         assert pii.base_spans(s) == sorted(want)
