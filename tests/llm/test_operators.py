@@ -253,6 +253,37 @@ def test_shard_counts_add_up(spark):
     counts = mixing.shard_counts(mix)
     assert counts.agg(F.sum("n")).first()[0] == plan.agg(F.sum("slots")).first()[0]
     assert counts.groupBy("shard").agg(F.sum("n").alias("n")).filter("n > 64").isEmpty()
+    # Each shard's slots are those it drew, at places of its own; each source's go through its blocks pass by pass.
+    draws = {(x.shard, x.pos): x.n for x in mixing.drawn(plan, 64).collect()}
+    rows = mix.collect()
+    assert draws == dict(Counter((x.shard, x.pos) for x in rows))
+    of = {x.pos: x for x in plan.collect()}
+    for pos, p in of.items():
+        passes = Counter(x["pass"] for x in rows if x.pos == pos)
+        assert len({(x["pass"], x.block) for x in rows if x.pos == pos}) == p.slots
+        assert all(n == p.blocks for k, n in passes.items() if k < max(passes))
+    for shard in {x.shard for x in rows}:
+        assert sorted(x.place for x in rows if x.shard == shard) == list(range(sum(x.shard == shard for x in rows)))
+
+
+def test_mixed_blocks(spark):
+    df = frame(spark, [*enumerate(texts()), (3, texts()[3])])
+    got = mixing.mixed_blocks(df, block_words=8, shard_slots=32).collect()
+    plan = mixing.targets(mixing.sized(df), 8)
+    assert len(got) == plan.agg(F.sum("slots")).first()[0]
+    words, sizes, per = Counter(), Counter(), defaultdict(Counter)
+    for x in df.collect():
+        words[x.source] += len(re.findall(r"[^\x20\x09-\x0D]+", x.text or ""))
+    for x in got:
+        n = len(x.text.split(" "))
+        assert n == 8 or (x.block + 1) * 8 > words[x.source]
+        per[(x.source, x.block)][x.text] += 1
+    assert all(len(c) == 1 and sum(c.values()) <= 3 for c in per.values())
+    for (source, _), c in per.items():
+        sizes[source] += len(next(iter(c)).split(" "))
+    for x in plan.filter("slots >= blocks").collect():
+        assert sizes[x.source] == words[x.source]
+    assert mixing.mixed_blocks(empty(spark)).count() == 0
 
 
 # --- 9
