@@ -68,6 +68,20 @@ def test_exact_copies_go_by_id_and_text(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "own"), (2, "a"), (None, "alone"), (4, ""), (4, "b")]))
 
 
+def test_chunks_follow_the_content(spark):
+    r = random.Random(8)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) + r.choice(["", "", "", "", "."]) for _ in range(n))
+    a, odd = say(3000), "x\x01\x02y\x01z" + say(300)
+    rows = [a, "Put before. " + a, a[:5000] + "put within" + a[5000:], odd, "b" * 20_000, ""]
+    cut = exact_dedup._chunks(F.col("t"), 256, 8192)
+    got = [x.c for x in spark.createDataFrame([(t,) for t in rows], "t string").select(cut.alias("c")).collect()]
+    assert ["".join(c).replace("\x01\x02", "").replace("\x01\x03", "\x01") for c in got] == rows
+    assert len(got[0]) > 30
+    for other in got[1:3]:  # an insertion changes the chunk that it falls into, and the next at most
+        assert len(set(got[0]) - set(other)) <= 2
+    assert exact_dedup.exact_duplicates(spark.createDataFrame([(1, "x\x01y"), (2, "x\x01\x03y"), (3, "xy"), (4, "x\x01\x02y")], "doc_id long, text string")).filter("kept").count() == 4
+
+
 # --- 3
 def brute_jaccard(rows):
     sets = {}
@@ -147,6 +161,18 @@ def test_warc(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_with_repeated_and_null_ids(spark):
+    rows = [(1, "x"), (5, "x"), (5, "x"), (1, "yyy"), (None, "x"), (None, "own"), (None, "own"), (2, "yyy"), (5, "other"), (7, None), (8, ""), (1, "x")]
+    got = warc.archive_round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()
+    want = []
+    for i, h in rows:
+        body = (h or "").encode()
+        top = max((j for j, g in rows if (g or "") == (h or "") and j is not None), default=None)
+        again = top is not None and i != top
+        want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if again else "response", top if again else None))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_warc_least_bytes(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     rows = {r.id: r.refers_to for r in warc.records(pages, "page_id", "url", "html", 4).collect()}
@@ -333,6 +359,14 @@ def test_chat_query_visits_parts(spark, monkeypatch):
     assert seen and not got.isEmpty()
 
 
+def test_chat_ties_go_by_text(spark):
+    rows = [(1, 0, "user", "<|x"), (1, 0, "user", "<a"), (1, 0, "user", None), (1, None, "assistant", "\\"), (1, 0, None, "[INST]"), (1, 0, "user", "<a")]
+    got = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    turns = got.select(chat_format.parse(F.col("formatted")).alias("t")).first()["t"]
+    key = lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")
+    assert [(t.role, t.text) for t in turns] == [(x[2] or "", x[3] or "") for x in sorted(rows, key=key)]
+
+
 # --- 5
 def brute_repeats(text):
     w = text.encode().split()
