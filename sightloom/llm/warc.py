@@ -10,7 +10,11 @@ Content-Length, its successor's offset. Pointer jumping from each file's start t
 reachable: in round k every pointer leads 2**k records ahead, so that a file of n records takes log2(n) rounds, each an
 equi-join of offsets. Pieces that are not reachable belong to the payload of the record before them.
 
-Edge cases: a null payload is empty; a null id is written as an empty record id and read as null; records with a broken
+A file is one gzip member; readers that seek by record need one a record, which Spark's writer does not make.
+
+Edge cases: a null payload is empty; a null id is written as an empty record id and read as null, and is a response unless
+a row with an id has its payload; rows with the largest id and one payload are all responses; a repeated id with other
+payloads has a record of its own for each; records with a broken
 header end their file's chain, and pieces after them are reported by nobody; an empty table writes no record and reads
 back as an empty result; other columns are ignored.
 """
@@ -20,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,8 +53,10 @@ def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least
     rows = pages.select(F.col(id_col).alias("id"), whole(url_col).alias("url"), whole(payload_col).alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload")), "full": F.sha2(F.col("payload").cast("binary"), 256)})
     first = rows.select("id", "bytes", "full").filter(F.col("bytes") >= least_bytes).groupBy("full", "bytes").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    revisits = stash(rows.select("id", "bytes", "full").join(first, ["full", "bytes"]).filter("id < first or id is null").select(F.col("id").alias("rid"), F.col("first").alias("refers_to")).distinct(), "warc-revisits")
-    return rows.drop("full").join(revisits, rows["id"].eqNullSafe(revisits["rid"]), "left").drop("rid")
+    revisits = stash(rows.select("id", "bytes", "full").join(first, ["full", "bytes"]).filter("id < first or id is null").select(F.col("id").alias("rid"), F.xxhash64("full", "bytes").alias("rkey"), F.col("first").alias("refers_to")).distinct(), "warc-revisits")
+    # By id and payload: an id may stand in several rows.
+    same = rows["id"].eqNullSafe(revisits["rid"]) & (F.xxhash64("full", "bytes") == F.col("rkey"))
+    return rows.join(revisits, same, "left").drop("rid", "rkey", "full")
 
 
 def _header(fields: dict[str, Column]) -> Column:
@@ -57,8 +64,9 @@ def _header(fields: dict[str, Column]) -> Column:
     return F.concat(*[F.coalesce(x, F.lit("")) for x in lines], F.lit("\r\n"))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, least_bytes: int = 0, max_records: int = 20_000) -> str:
-    """Writes a record for each row of pages below path, and returns path."""
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, least_bytes: int = 0, max_records: int = 20_000, date: str | None = None) -> str:
+    """Writes a record for each row of pages below path, and returns path. date: WARC-Date of all records, or now."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = records(pages, id_col, url_col, payload_col, least_bytes)
     again = F.col("refers_to").isNotNull()
     body = F.when(again, "").otherwise(F.col("payload"))
@@ -67,6 +75,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         {
             "WARC-Type": F.when(again, "revisit").otherwise("response"),
             "WARC-Record-ID": F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">")),
+            "WARC-Date": F.lit(date),
             "WARC-Target-URI": clean,
             "WARC-Payload-Digest": F.concat(F.lit("sha1:"), F.col("digest")),
             "WARC-Refers-To": F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")),
@@ -191,10 +200,12 @@ def _number(col: str) -> Column:
 def pages_of(read: DataFrame) -> DataFrame:
     """The contract's columns, read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     long = lambda c: F.when(_number(c) != "", _number(c).cast("long"))
-    rows = stash(read.select(long("id").alias("page_id"), F.col("kind").alias("record_type"), long("refers_to").alias("refers_to"), F.length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("d")), "warc-pages")
-    full = rows.filter("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("n").alias("full_n"), F.col("d").alias("full_d"))
+    own = F.when(F.col("kind") == "revisit", F.regexp_replace("digest", "^sha1:", "")).otherwise(base32_sha1(F.col("payload")))
+    rows = stash(read.select(long("id").alias("page_id"), F.col("kind").alias("record_type"), long("refers_to").alias("refers_to"), F.length("payload").cast("long").alias("n"), own.alias("d")), "warc-pages")
+    # A revisit's payload is that of the response with its digest, among the responses of the page that it names.
+    full = rows.filter("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("n").alias("full_n"), F.col("d").alias("full_d")).dropDuplicates(["to", "full_d"])
     out = rows.filter("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = rows.filter("record_type = 'revisit'").join(full, F.col("refers_to") == F.col("to")).select("page_id", F.col("full_n").alias("payload_bytes"), F.col("full_d").alias("payload_digest"), "record_type", "refers_to")
+    again = rows.filter("record_type = 'revisit'").join(full, (F.col("refers_to") == F.col("to")) & (F.col("d") == F.col("full_d"))).select("page_id", F.col("full_n").alias("payload_bytes"), F.col("full_d").alias("payload_digest"), "record_type", "refers_to")
     return out.unionByName(again)
 
 
