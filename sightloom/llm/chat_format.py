@@ -71,14 +71,12 @@ def format_conversations(turns: DataFrame, parts_col: str | None = None) -> Data
     turns has conv_id, turn, role and text, or in place of text the typed parts in parts_col. loss_spans are offsets in
     code points, end exclusive, of the assistant bodies within formatted. attachments are per turn.
     """
-    if parts_col:
-        seen = turns.select("conv_id", "turn", whole("role").alias("role"), visit(F.col(parts_col)).alias("v"))
-        body, files = F.col("v.text"), F.col("v.attachments")
-    else:
-        seen = turns.select("conv_id", "turn", whole("role").alias("role"), whole("text").alias("t"))
-        body, files = escape(F.col("t")), F.expr("cast(array() as array<struct<ordinal:int,kind:string,ref:string,tokens:bigint>>)")
-    rows = seen.select("conv_id", F.struct("turn", "role", body.alias("body"), files.alias("files")).alias("x"))
+    # Turns are put in order by what they say, before anything is escaped.
+    content = F.col(parts_col) if parts_col else text_part(F.col("text"))
+    rows = turns.select("conv_id", F.struct("turn", whole("role").alias("role"), content.alias("parts")).alias("x"))
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    seen = F.transform("xs", lambda x: F.struct(x["role"].alias("role"), visit(x["parts"]).alias("v")))
+    convs = convs.select("conv_id", seen.alias("xs")).select("conv_id", F.transform("xs", lambda x: F.struct(x["role"].alias("role"), x["v"]["text"].alias("body"), x["v"]["attachments"].alias("files"))).alias("xs"))
     head = lambda x: F.concat(F.lit(TURN), escape(x["role"]), F.lit(BODY))
     formatted = F.array_join(F.transform("xs", lambda x: F.concat(head(x), x["body"], F.lit(END))), "")
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
