@@ -1,8 +1,8 @@
 """Exact deduplication through content-defined chunk recipes.
 
-Each text is cut after some of its sentences (and lines): those whose own hash says so, whatever stands before or after,
+Each text is cut after some of its sentences: those whose own hash says so, whatever stands before or after,
 so that equal passages give equal chunks from their second sentence on wherever they stand, and an insertion changes the
-chunk that it falls into and the next at most. A sentence without an end is cut at MAX_CHUNK. Chunks are deduplicated to identifiers: a 64-bit
+chunk that it falls into and the next at most. Longer chunks are cut at MAX_CHUNK. Chunks are deduplicated to identifiers: a 64-bit
 hash and a length, and an ordinal that tells apart different chunks which share both. The registry that verifies this
 groups by the chunk itself, so that a chunk's characters cross the network once, after map-side combining. A document
 is then its ordered list of identifiers, and documents are compared by these short lists alone.
@@ -23,23 +23,24 @@ from pyspark.sql import functions as F
 from sightloom.llm.common import sha256_hex, stash, whole
 
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
-#: One in so many characters of MIN_CHUNK's is a sentence end, about.
+#: One in so many characters is the end of a sentence, about.
 SENTENCE = 64
-#: Put after a chunk before texts are split; the first of the two in a text itself is followed by another.
-_CUT, _KEPT = "\x01\x02", "\x01\x03"
-
-
-def chunk_pattern(most: int = MAX_CHUNK) -> str:
-    """A sentence: up to its end, or most characters."""
-    ends = r".!?\n\x{2026}\x{3002}\x{ff01}\x{ff1f}"
-    return rf"(?s)[^{ends}]{{0,{most - 1}}}[{ends}]|.{{1,{most}}}"
+#: Stands after a chunk before texts are split. A text's own \\x01 and \\x02 are written as two other characters.
+_CUT, _OWN = "\x02", {"\x01": "\x01\x03", "\x02": "\x01\x04"}
 
 
 def _chunks(text: Column, least: int, most: int) -> Column:
-    """A text's chunks, of least characters about; put together and without _CUT they are the text (_KEPT: its own \\x01)."""
-    sentences = F.regexp_extract_all(F.replace(text, F.lit(_CUT[0]), F.lit(_KEPT)), F.lit(chunk_pattern(most)), F.lit(0))
-    ends = F.transform(sentences, lambda s: F.when(F.pmod(F.xxhash64(s), F.lit(max(1, least // SENTENCE))) == 0, F.concat(s, F.lit(_CUT))).otherwise(s))
-    return F.filter(F.split(F.array_join(ends, ""), f"(?<={_CUT})"), lambda c: c != "")
+    """A text's chunks, of least characters about. Put together they are the text (with _OWN written so) and a full stop.
+
+    A sentence ends at a full stop: splitting at one character needs no pattern.
+    """
+    for c, written in _OWN.items():
+        text = F.replace(text, F.lit(c), F.lit(written))
+    ends = lambda s: F.pmod(F.xxhash64(s), F.lit(max(1, least // SENTENCE))) == 0
+    marked = F.transform(F.split(text, r"\."), lambda s: F.when(ends(s), F.concat(s, F.lit("." + _CUT))).otherwise(F.concat(s, F.lit("."))))
+    cut = F.filter(F.split(F.array_join(marked, ""), _CUT), lambda c: c != "")
+    short = lambda c: F.when(F.length(c) > most, F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{most}}}"), F.lit(0))).otherwise(F.array(c))
+    return F.when(text == "", F.filter(F.array(F.lit("")), lambda c: c != "")).otherwise(F.flatten(F.transform(cut, short)))
 
 
 def _hash(chunk: Column, bits: int) -> Column:
