@@ -4,8 +4,9 @@ The lexicon is learned. Words of labelled training documents are counted by Data
 that toxic documents hold far more often than others become terms: whole words, or stems where many endings occur. The
 terms form a trie. A word's Levenshtein automaton (distance 1, simulated bit-parallel over the word's positions) runs
 along the trie's branches at once, so that misspelled terms are found without listing them. Around every finding a
-window of CONTEXT words is looked at: between quotation marks or beside words of reporting it counts as quotation, else
-as abuse. A logistic model over the counts of findings (per term; exact, misspelled, quoted) gives the score.
+window of CONTEXT words is looked at: quotation marks on both sides, words of reporting, both or neither are four kinds of
+windows. A logistic model over the counts of findings (per term, exact and misspelled; and per kind of window, exact and
+misspelled) gives the score, so that how far a window tells quotation from abuse is learned.
 
 Labels are learned from at most TRAIN_ROWS labelled rows, the first by hash of id, and only from those whose
 crc32(doc_id as text) mod 5 is not 0; neither labels nor other columns than the text are inputs of a score.
@@ -31,6 +32,8 @@ from sightloom.llm.common import whole
 TRAIN_ROWS = 20_000
 LEAST, MOST = 4, 10
 CONTEXT = 6
+#: Kinds of windows.
+WINDOWS = 4
 CLEAN_WORDS = 1_000_000
 LETTERS = re.compile(r"[^\W_]+")
 QUOTES = frozenset('"“”„«»‘’‹›')
@@ -112,8 +115,8 @@ class Model:
             found += [m for m in self.trie.matches(inner).items() if m[0] not in known]
         return found
 
-    def findings(self, text: str) -> list[tuple[int, int, bool]]:
-        """(term, distance, quoted) of every finding of a text."""
+    def findings(self, text: str) -> list[tuple[int, int, int]]:
+        """(term, distance, kind of window: 1 marks, 2 reporting, 3 both, 0 neither) of every finding of a text."""
         words = text.split()
         for w in set(words).difference(self.clean).difference(self.found):
             if m := self.look(w):
@@ -129,18 +132,18 @@ class Model:
             if m := self.found.get(w):
                 before, after = words[max(0, i - CONTEXT) : i + 1], words[i : i + CONTEXT + 1]
                 marks = any(QUOTES.intersection(x) for x in before) and any(QUOTES.intersection(x) for x in after)
-                quoted = marks or any(x.lower().strip(".,:;!?") in REPORTING for x in (*before[:-1], *after[1:]))
-                out += [(k, d, quoted) for k, d in m]
+                told = any(x.lower().strip(".,:;!?") in REPORTING for x in (*before[:-1], *after[1:]))
+                out += [(k, d, marks + 2 * told) for k, d in m]
         if len(self.found) > CLEAN_WORDS:
             self.found.clear()
         return out
 
     def features(self, text: str) -> dict[int, float]:
-        """Counts of a text, dampened: per term exact and misspelled; and all findings, quoted and not."""
+        """Counts of a text, dampened: per term, and per kind of window, exact and misspelled."""
         out: dict[int, float] = {}
         n = 2 * len(self.terms)
-        for k, d, quoted in self.findings(text):
-            for f in (2 * k + d, n + 2 * d + quoted):
+        for k, d, window in self.findings(text):
+            for f in (2 * k + d, n + 2 * window + d):
                 out[f] = out.get(f, 0.0) + 1.0
         return {f: math.log1p(v) for f, v in out.items()}
 
@@ -211,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         seen = some.select("doc_id", "toxic", _features(model)(F.col("text")).alias("f")).orderBy("doc_id", "toxic").collect()
     finally:
         some.unpersist()
-    size = 2 * len(model.terms) + 4
+    size = 2 * len(model.terms) + 2 * WINDOWS
     y = np.array([r["toxic"] for r in seen], float)
     cells = [(i, f, v) for i, r in enumerate(seen) for f, v in (r["f"] or {}).items()]
     at, col, value = (np.array([c[k] for c in cells], t) for k, t in enumerate((np.int64, np.int64, float)))
