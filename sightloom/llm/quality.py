@@ -13,6 +13,7 @@ left out; repeated label rows count once each; other columns are ignored; an emp
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,13 +134,13 @@ def _best_test(x: dict[str, np.ndarray], bad: np.ndarray, inside: np.ndarray) ->
     return best
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, *, most_rules: int = 12, most_tests: int = 4, precision: float = 0.9, least: int = 3) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray, *, precision: float = 0.9, least: int = 3) -> list[Rule]:
     """Ordered rules that tell bad rows. part: true for rows to grow rules on, false for rows to prune them on."""
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
-    while len(rules) < most_rules and (bad & left & part).sum() >= least:
+    while (bad & left & part).sum() >= least:
         rule: Rule = ()
-        while len(rule) < most_tests:
+        while True:
             inside = left & part & _covered(rule, x)
             if not (bad & inside).any() or not (~bad & inside).any():
                 break
@@ -174,8 +175,8 @@ def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     found = found[~found["failed"].astype(bool)]
     if found.empty:
         return []
-    ids = found["doc_id"].to_numpy()
-    return learn({f: found[f].to_numpy(float) for f in FEATURES}, found["_y"].to_numpy() == 0, (ids * 2_654_435_761 % 2**32 // 7) % 3 != 0)
+    part = np.array([zlib.crc32(str(i).encode()) % 3 != 0 for i in found["doc_id"]])
+    return learn({f: found[f].to_numpy(float) for f in FEATURES}, found["_y"].to_numpy() == 0, part)
 
 
 def verdict(rules: list[Rule]) -> Column:
