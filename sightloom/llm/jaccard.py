@@ -16,7 +16,7 @@ a document whose prefix holds fewer shared tokens than that has no partner. Orde
    the others, a pair needs one among its first n - ceil(t n) + 1. Rounds of first tokens: classes meet by one open
    token each, another one each round, and of each pair of components one pair is a candidate. They go on while they join
    components in number. What is left then are pairs of different components that share an open token, and all of these
-   are compared. Pairs within a component never come up, which keeps large groups of near copies linear.
+   are looked at, a few of each pair of components at a time. Pairs within a component never come up, which keeps large groups of near copies linear.
 5. A candidate must pass the bounds of sizes and parity sketches (two sets differ in at least as many tokens as their
    sketches in bits), and share L tokens in its prefixes under every other order too: the orders' filters are intersected
    on these short columns, before any set moves.
@@ -31,7 +31,7 @@ component has no other; other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,17 +159,25 @@ def heads(toks: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_link(n: tuple[int, int], wide: tuple[bytes, bytes], *others: tuple[bytes, bytes]) -> bool:
-    """Whether the prefix filters of all other orders and the wide sketches allow a link of two sets of sizes n."""
+def orders_allow(n: tuple[int, int], *others: tuple[bytes, bytes]) -> bool:
+    """Whether the prefix filters of all other orders allow a link of two sets of sizes n."""
     least = min(map(reserve, n))
-    if any(shared_at_most(x, y) < least for x, y in others):
-        return False
+    return all(shared_at_most(x, y) >= least for x, y in others)
+
+
+def sketches_allow(n: tuple[int, int], wide: tuple[bytes, bytes]) -> bool:
+    """Whether the wide sketches do."""
     return differ(*wide) * (100 + PERCENT) <= (100 - PERCENT) * sum(n)
 
 
-def _may_link(*cols: pa.Array) -> pa.Array:
-    pairs = [list(zip(a.to_pylist(), b.to_pylist(), strict=True)) for a, b in zip(cols[::2], cols[1::2], strict=True)]
-    return pa.array([may_link(*row) for row in zip(*pairs, strict=True)], pa.bool_())
+def _told(allow: Callable[..., bool]) -> Callable[..., Column]:
+    """An Arrow function of allow, given the two sets' values side by side."""
+
+    def of(*cols: pa.Array) -> pa.Array:
+        pairs = [zip(a.to_pylist(), b.to_pylist(), strict=True) for a, b in zip(cols[::2], cols[1::2], strict=True)]
+        return pa.array([allow(*row) for row in zip(*pairs, strict=True)], pa.bool_())
+
+    return F.arrow_udf(of, "boolean")
 
 
 def _longs(lists: list[np.ndarray]) -> pa.Array:
@@ -262,19 +270,39 @@ def _links(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([links(x, y) for x, y in sets], pa.bool_())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, tables: Stashes) -> DataFrame:
-    """The pairs (a, b) that pass the bounds and the filters of all orders, and then link.
+def _own(sets: DataFrame, pairs: DataFrame, side: str, *cols: str) -> DataFrame:
+    """The rows of sets that pairs have on a side (a or b, which is what sid is called then); others need not move."""
+    ids = pairs.select(F.col(side).alias("sid")).distinct()
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    return sets.select("sid", *cols).join(ids, "sid", "left_semi").select(F.col("sid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols])
+
+
+def _sided(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
+    for side in "ab":
+        pairs = pairs.join(_own(sets, pairs, side, *cols), side)
+    return pairs
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, tables: Stashes) -> DataFrame:
+    """The pairs (a, b) that pass the bounds of sizes and sketches."""
+    told = _told(sketches_allow)("a_n", "b_n", "a_wide", "b_wide")
+    return tables.put("bounded", _sided(pairs, sets, "n", "bits", "wide").filter(_close("a", "b")).filter(told).select("a", "b"))
 
-    Filters come first, on short columns alone: few pairs need their whole sets moved.
-    """
-    short = ("n", "bits", "wide", "second", "third")
-    small = lambda k, p: sets.select(F.col("sid").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in short])
-    both = [F.col(f"{p}_{c}") for c in ("n", "wide", "second", "third") for p in "xy"]
-    near = pairs.join(small("a", "x"), "a").join(small("b", "y"), "b").filter(_close()).filter(F.arrow_udf(_may_link, "boolean")(*both))
-    near = tables.put("near", near.select("a", "b"))
-    whole = lambda k: sets.select(F.col("sid").alias(k), F.col("toks").alias(f"{k}_toks"))
-    said = F.arrow_udf(_links, "boolean")(F.col("a_toks"), F.col("b_toks"))
-    return tables.put("edges", near.join(whole("a"), "a").join(whole("b"), "b").filter(said).select("a", "b"))
+
+def _near(bounded: DataFrame, sets: DataFrame, tables: Stashes) -> DataFrame:
+    """The pairs (a, b) that pass the filters of all other orders, too."""
+    told = _told(orders_allow)(*[F.col(f"{side}_{c}") for c in ("n", "second", "third") for side in "ab"])
+    return tables.put("near", _sided(bounded, sets, "n", "second", "third").filter(told).select("a", "b"))
+
+
+def _linked(near: DataFrame, sets: DataFrame, tables: Stashes) -> DataFrame:
+    """The pairs (a, b) that link."""
+    whole = _sided(near, sets, "toks")
+    return tables.put("edges", whole.filter(F.arrow_udf(_links, "boolean")(F.col("a_toks"), F.col("b_toks"))).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, tables: Stashes) -> DataFrame:
+    return _linked(_near(_bounded(pairs, sets, tables), sets, tables), sets, tables)
 
 
 def _stars(entries: DataFrame, turn: int) -> DataFrame:
@@ -286,15 +314,15 @@ def _stars(entries: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("sid", "l.sid").alias("a"), F.greatest("sid", "l.sid").alias("b")).distinct()
 
 
-def _close() -> Column:
-    """Whether sizes and sketches of two entries (x, y) allow a link."""
+def _close(x: str, y: str) -> Column:
+    """Whether sizes and sketches of two entries allow a link."""
     differ = None
     for i in range(SKETCH_LONGS):
-        d = F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i]))
+        d = F.bit_count(F.col(f"{x}_bits")[i].bitwiseXOR(F.col(f"{y}_bits")[i]))
         differ = d if differ is None else differ + d
-    sizes = (100 * F.col("x_n") >= PERCENT * F.col("y_n")) & (100 * F.col("y_n") >= PERCENT * F.col("x_n"))
+    n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
     # |x - y| + |y - x| <= (100 - t) / (100 + t) * (|x| + |y|), t in hundredths.
-    return sizes & (differ * (100 + PERCENT) <= (100 - PERCENT) * (F.col("x_n") + F.col("y_n")))
+    return (100 * n >= PERCENT * m) & (100 * m >= PERCENT * n) & (differ * (100 + PERCENT) <= (100 - PERCENT) * (n + m))
 
 
 def _meeting(entries: DataFrame, sets: DataFrame) -> DataFrame:
@@ -305,7 +333,7 @@ def _meeting(entries: DataFrame, sets: DataFrame) -> DataFrame:
     group = entries.withColumn("before", F.coalesce(before, "token")).join(sets.select("sid", "n", "bits"), "sid")
     x, y = (group.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("sid", "comp", "n", "bits", "before")]) for p in "xy")
     new = (F.col("x_before") != F.col("y_before")) | (F.col("x_before") == x["token"])
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("x_comp") < F.col("y_comp")) & new & _close())
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("x_comp") < F.col("y_comp")) & new & _close("x", "y"))
     return met.select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"), "x_comp", "y_comp")
 
 
@@ -319,13 +347,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of each row, and (node, comp) of each sid that has links: comp is a sid."""
     spark = docs.sparkSession
     tables = Stashes(spark, "jaccard")
-    rows = stash(profiles(docs), "jaccard-rows")
-    same = rows.filter("n > 0").groupBy("sid").agg(F.min("check").alias("c1"), F.max("check").alias("c2"), F.min("doc_id").alias("doc_id"))
+    found = tables.put("profiles", profiles(docs))
+    same = found.filter("n > 0").groupBy("sid").agg(F.min("check").alias("c1"), F.max("check").alias("c2"), F.min("doc_id").alias("doc_id"))
     clash = same.filter("c1 <> c2").limit(1).count()
     if clash:
         raise ValueError("two sets have one fingerprint: choose other factors in ORDERS")
-    first = tables.put("first", _shared(rows.filter("n > 0").select("sid", "n", "shared", "sent")))
+    first = tables.put("first", _shared(found.filter("n > 0").select("sid", "n", "shared", "sent")))
     left = tables.put("left", first.select("sid").join(same, "sid").select("sid", "doc_id"))
+    rows = stash(found.select("doc_id", "n", "sid"), "jaccard-rows")
+    tables.drop("profiles")
     few = left.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     # A null id stands in for its set only where no other row does.
     texts = docs.select("doc_id", "text").join(F.broadcast(left) if few else left, docs["doc_id"].eqNullSafe(left["doc_id"])).select("sid", "text")
@@ -354,11 +384,25 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         labels = merge(labels, edges, tables)
         turn = turn + 1 if joined and joined * WORTH >= components else -1
     rest = tables.put("rest", _meeting(open_, sets).select("a", "b").distinct())
-    if not rest.isEmpty():
-        labels = merge(labels, _verified(rest, sets, tables), tables)
+    rest = tables.put("rest", _bounded(rest, sets, tables))
+    one, two = (F.col("comp").alias(f"{side}_comp") for side in "ab")
+    many = 1
+    while True:
+        # Of each pair of components one candidate, then four times as many each round, until none is left: where
+        # components join at once, sets move for few pairs.
+        of_a, of_b = labels.select(F.col("node").alias("a"), one), labels.select(F.col("node").alias("b"), two)
+        rest = tables.put("rest", rest.join(of_a, "a").join(of_b, "b").filter("a_comp <> b_comp").select("a", "b", "a_comp", "b_comp"))
+        if rest.isEmpty():
+            break
+        ends = [F.least("a_comp", "b_comp").alias("u"), F.greatest("a_comp", "b_comp").alias("v")]
+        turn = F.row_number().over(Window.partitionBy(*ends).orderBy(F.xxhash64("a", "b"), "a", "b"))
+        some = tables.put("pairs", rest.withColumn("turn", turn).filter(F.col("turn") <= many).select("a", "b"))
+        many *= 4
+        labels = merge(labels, _linked(_near(some, sets, tables), sets, tables), tables)
+        rest = rest.select("a", "b").join(some, ["a", "b"], "left_anti")
     labels = stash(labels, "jaccard-labels")
     tables.drop()
-    return rows.select("doc_id", "n", "sid"), labels
+    return rows, labels
 
 
 def linked(docs: DataFrame) -> DataFrame:
