@@ -8,9 +8,9 @@ Bytes covered by a string of WIDTH bytes that starts anywhere else too are found
 2. Segments that occur twice or more as a whole repeat in all their windows.
 3. The other segments of keys with several go, one representative of each, to the tasks of their keys. A task takes keys
    of BATCH_BYTES together. Documents belong to SHARDS shards; a task sorts each shard's suffixes once into its
-   Burrows-Wheeler transform (two bytes are one symbol), and merges the shards' transforms by refining their interleave
+   Burrows-Wheeler transform (eight bytes are one symbol), and merges the shards' transforms by refining their interleave
    (Holt and McMillan, 2014): in round k a stable distribution by symbol of what precedes each suffix orders the merged
-   suffixes by 2k bytes, while block borders give the common prefixes. After WIDTH / 2 rounds the blocks with two
+   suffixes by 8k bytes, while block borders give the common prefixes. After WIDTH / 8 rounds the blocks with two
    suffixes or more are the repeated intervals. Suffixes alone in their block leave; no suffix is compared or sorted again.
 4. A key whose segments are more than KEY_BYTES (a passage in very many surroundings) goes to no task whole. Windows of a
    key fall into blocks by their distance to the key's place, and all windows of a block have a core of bytes in common:
@@ -36,7 +36,7 @@ from sightloom.llm.common import Stashes, stash, whole
 
 WIDTH, GRAM = 200, 32
 BATCH_BYTES, KEY_BYTES = 500_000, 500_000
-SHARDS, BLOCK = 4, 16
+SHARDS, BLOCK, SYMBOL = 4, 16, 8
 BROADCAST_IDS = 500_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 RUNS = "k long, tk long, at long, starts long, v long, twice long, seg long"
@@ -95,32 +95,60 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sorted_shard(text: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
-    """A shard's suffixes in the order of their first width bytes, by prefix doubling; ends: where each one's segment ends."""
-    n = len(text)
-    left = ends - np.arange(n)
-    rank = text.astype(np.int64)
-    step = 1
-    while step < width:
-        after = np.zeros(n, np.int64)
-        far = left > step
-        after[far] = rank[np.flatnonzero(far) + step]
-        _, rank = np.unique(rank * (n + 258) + after, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
+    """A shard's suffixes in the order of their first width bytes; ends: where each one's segment ends.
+
+    Seven bytes at once, then by doubling; only suffixes that are equal so far are looked at again. A rank is the place
+    of the first suffix that is equal so far.
+    """
+    n, step = len(text), 7
+    left = ends - np.arange(n, dtype=np.int32)
+    padded = np.concatenate([text, np.zeros(step, text.dtype)])
+    key = np.zeros(n, np.int64)
+    for i in range(step):
+        key = key << 9 | np.where(left > i, padded[i : n + i], 0)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    rank = np.empty(n, np.int32)
+    at = np.arange(n, dtype=np.int32)
+    while len(at):
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        rank[order[at]] = first
+        if step >= width:
+            break
+        same = ~new
+        same[:-1] |= ~new[1:]
+        at, first = at[same], first[same]
+        some = order[at]
+        after = np.zeros(len(at), np.int64)
+        far = left[some] > step
+        after[far] = rank[some[far] + step] + 1
+        key = first.astype(np.int64) * (n + 1) + after
+        move = np.argsort(key, kind="stable")
+        order[at], key = some[move], key[move]
         step *= 2
-    return np.argsort(rank, kind="stable")
+    return order
+
+
+def _by_symbol(symbols: np.ndarray) -> np.ndarray:
+    """A stable order by symbols, 16 bits at a time."""
+    move = np.argsort(symbols.astype(np.uint16), kind="stable")
+    if len(symbols) and int(symbols.max()) >> 16:
+        move = move[np.argsort((symbols[move] >> 16).astype(np.uint16), kind="stable")]
+    return move
 
 
-def merged_repeats(segments: list[bytes], keys: list[int], shards: list[int], width: int = WIDTH) -> list[np.ndarray]:
-    """For each segment, which window starts have the same width (even) bytes as another start of a segment of its key.
+def merged_repeats(segments: list[bytes], keys: list[int], shards: list[int], width: int = WIDTH, wide: int = SYMBOL) -> list[np.ndarray]:
+    """For each segment, which window starts have the same width (a multiple of wide) bytes as another start of a segment of its key.
 
     shards: each segment's. Shards' transforms stand one after another, and are merged.
     """
     order = sorted(range(len(segments)), key=lambda k: shards[k])
     # Every segment is followed by a mark, whose suffix is where its last window's round ends. Bytes are numbered from 2.
     sizes = np.array([len(segments[k]) + 1 for k in order])
-    text = np.zeros(sizes.sum(), np.uint16)
-    text[:] = np.frombuffer(b"".join(segments[k] + b"\0" for k in order), np.uint8)
-    text += 2
+    raw = np.frombuffer(b"".join(segments[k] + b"\0" for k in order), np.uint8)
+    text = raw.astype(np.uint16) + np.uint16(2)
     stop = np.cumsum(sizes).astype(np.int32)
     text[stop - 1] = 1
     n, first = len(text), stop - sizes.astype(np.int32)
@@ -133,23 +161,26 @@ def merged_repeats(segments: list[bytes], keys: list[int], shards: list[int], wi
         suffix[a:b] = a + sorted_shard(text[a:b], ends[a:b] - a, width)
     number = np.empty(n, np.int32)
     number[suffix] = np.arange(n, dtype=np.int32)
-    # The transform: the symbol before each suffix (two bytes), and the suffix that starts with it.
-    has = suffix - np.repeat(first, sizes)[suffix] >= 2
+    # The transform: the symbol before each suffix (wide bytes, numbered), and the suffix that starts with it.
+    has = suffix - np.repeat(first, sizes)[suffix] >= wide
     before = np.full(n, -1, np.int32)
-    before[has] = number[suffix[has] - 2]
-    symbol = np.zeros(n, np.uint16)
-    symbol[has] = (text[suffix[has] - 2] - 2) << 8 | (text[suffix[has] - 1] - 2)
-    del number, has
+    before[has] = number[suffix[has] - wide]
+    packed = np.zeros(n, np.uint64)
+    for i in range(wide):
+        packed[: n - i] = packed[: n - i] << np.uint64(8) | raw[i:]
+    symbol = np.zeros(n, np.uint32)
+    symbol[has] = np.unique(packed[suffix[has] - wide], return_inverse=True)[1]
+    del number, has, packed
     _, ranks = np.unique(np.array([keys[k] for k in order], np.int64), return_inverse=True)
     group = np.repeat(ranks.astype(np.int32), sizes)[suffix]
     # Depth 0: the interleave is shard after shard, and a key's suffixes are one block.
     inter = np.argsort(group, kind="stable").astype(np.int32)
     block = group[inter]
     del group
-    for _ in range(width // 2):
+    for _ in range(width // wide):
         go = before[inter] >= 0
         prior, sym, blk = before[inter[go]], symbol[inter[go]], block[go]
-        move = np.argsort(sym, kind="stable")
+        move = _by_symbol(sym)
         # Blocks of a key stay apart as the blocks of their suffixes do.
         prior, sym, blk = prior[move], sym[move], blk[move]
         border = np.ones(len(prior), bool)

@@ -615,7 +615,7 @@ def test_merge_of_shards_in_small():
     for _ in range(30):
         segments = [bytes(r.choice(b"ab") for _ in range(r.randint(8, 30))) for _ in range(r.randint(1, 6))]
         keys = [r.randint(0, 1) for _ in segments]
-        got = suffix_dedup.merged_repeats(segments, keys, [r.randint(0, 3) for _ in segments], 8)
+        got = suffix_dedup.merged_repeats(segments, keys, [r.randint(0, 3) for _ in segments], 8, r.choice([1, 2, 4, 8]))
         seen = Counter((k, s[i : i + 8]) for s, k in zip(segments, keys, strict=True) for i in range(len(s) - 7))
         for s, k, g in zip(segments, keys, got, strict=True):
             assert g.tolist() == [seen[(k, s[i : i + 8])] > 1 for i in range(len(s) - 7)]
