@@ -149,7 +149,7 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def label_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     s = sightings(spark, sf)
-    tracks = s.groupBy("video", "label").agg(F.collect_set((F.floor(F.col("start_time") / 7)).cast("string")).alias("segment_ids")).withColumn("id", F.concat_ws(":", F.col("video").cast("string"), "label"))
+    tracks = s.groupBy("video", "label").agg(F.collect_set((F.floor(F.col("start_time") / 7)).cast("string")).alias("segment_ids"), F.min(F.struct("start_time", "l_orderkey", "l_linenumber")).alias("place")).withColumn("id", F.concat_ws(":", F.col("video").cast("string"), "label"))
     return views.neighbors(tracks)
 
 
@@ -162,7 +162,7 @@ def top_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_relations(spark: SparkSession, sf: str) -> DataFrame:
-    out = visual.merge_relations(_relations(spark, sf).distinct(), gap=100.0)
+    out = visual.merge_relations(_relations(spark, sf), gap=100.0)
     return out.withColumns({"min_distance": F.round("min_distance", 4), "max_distance": F.round("max_distance", 4)})
 
 
@@ -378,8 +378,9 @@ SQL = {
         SELECT video, label, CAST(session AS BIGINT) AS session, count(*) AS n, min(start_time) AS start_time, max(end_time) AS end_time FROM n GROUP BY ALL""",
     "event_windows": """WITH g AS (SELECT user_id, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS "window", count(*) AS n, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY 1, 2)
         SELECT *, lag("window") OVER w AS previous, lead("window") OVER w AS next FROM g WINDOW w AS (PARTITION BY user_id ORDER BY "window")""",
-    "label_neighbors": f"""WITH {_SIGHT}, g AS (SELECT DISTINCT video, label, floor(start_time / 7) AS seg, video || ':' || label AS id FROM s)
-        SELECT DISTINCT a.id AS source, b.id AS target FROM g a JOIN g b ON a.video = b.video AND a.seg = b.seg AND a.label <> b.label AND a.id < b.id""",
+    "label_neighbors": f"""WITH {_SIGHT}, f AS (SELECT video, label, min({{'t': start_time, 'o': l_orderkey, 'n': l_linenumber}}) AS place FROM s GROUP BY ALL),
+        g AS (SELECT DISTINCT s.video, s.label, floor(start_time / 7) AS seg, s.video || ':' || s.label AS id, place FROM s JOIN f ON s.video = f.video AND s.label = f.label)
+        SELECT DISTINCT a.id AS source, b.id AS target FROM g a JOIN g b ON a.video = b.video AND a.seg = b.seg AND a.label <> b.label AND a.place < b.place""",
     "spatial_relations": f"WITH {_REL} SELECT video, frame, time, target_id, related_id, relation_type, round(distance, 4) AS distance FROM rel",
     "top_relations": f"""WITH {_REL}, v AS (SELECT *, {_VALUE} AS value FROM rel),
         o AS (SELECT *, row_number() OVER (PARTITION BY video, frame, target_id ORDER BY value DESC, target_id, relation_type, related_id) AS r FROM v),

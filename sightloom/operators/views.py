@@ -144,13 +144,15 @@ def tracks(target: DataFrame, scope: DataFrame, gap: float = L.TRACK_GAP) -> Dat
     rows = target.filter(T.normalize_label(F.col("label")).isin(*sorted(L.MOVABLE))).select("video", "label", "node_id", "segment_id", "ord", "ordinal", "start_time", "end_time")
     rows = sessions(rows, ["video", "label"], ["ord", "ordinal"], gap).join(scope.select("segment_id", F.col("text").alias("t")), "segment_id")
     item = F.struct(F.coalesce("start_time", F.lit(1e12)).alias("at"), "ord", "ordinal", "node_id", "segment_id", "start_time", "end_time", "t")
-    rows = rows.groupBy("video", "label", "session").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = rows.groupBy("video", "label", "session").agg(F.array_sort(F.collect_list(item)).alias("items"), F.min(F.struct("ord", "ordinal")).alias("place"))
+    # Tracks of a video stand in the order in which their labels come up first.
+    rows = rows.withColumn("place", F.min("place").over(Window.partitionBy("video", "label")))
     evidence = F.array_join(F.array_distinct(F.transform("items", lambda x: F.concat_ws("\x00", x["segment_id"], x["t"]))), "\x01")
     texts = F.array_join(F.transform(F.split(evidence, "\x01"), lambda x: F.element_at(F.split(x, "\x00", 2), 2)), " ")
     rows = rows.withColumns({"object_ids": F.transform("items", lambda x: x["node_id"]), "segment_ids": F.array_distinct(F.transform("items", lambda x: x["segment_id"])), "said": texts})
     actions = T.action_tags(T.tokenize(F.col("said")))
     tid = F.concat_ws(":", F.lit("track"), "video", F.regexp_replace("label", " ", "_"), "session")
-    out = rows.select(tid.alias("id"), "video", "label", "session", "object_ids", "segment_ids", F.element_at("items", 1)["start_time"].alias("start_time"), F.element_at("items", -1)["end_time"].alias("end_time"), actions.alias("action_tags"), T.lexicon_words(F.col("said"), L.MOTION_KEYWORDS).alias("action_keywords"), T.lexicon_words(F.col("said"), L.DIRECTION_KEYWORDS).alias("direction_keywords"), T.lexicon_words(F.col("said"), L.STATE_KEYWORDS).alias("state_keywords"), T.shorten(F.col("said"), 900).alias("evidence_text"))
+    out = rows.select(tid.alias("id"), "video", "label", "session", "place", "object_ids", "segment_ids", F.element_at("items", 1)["start_time"].alias("start_time"), F.element_at("items", -1)["end_time"].alias("end_time"), actions.alias("action_tags"), T.lexicon_words(F.col("said"), L.MOTION_KEYWORDS).alias("action_keywords"), T.lexicon_words(F.col("said"), L.DIRECTION_KEYWORDS).alias("direction_keywords"), T.lexicon_words(F.col("said"), L.STATE_KEYWORDS).alias("state_keywords"), T.shorten(F.col("said"), 900).alias("evidence_text"))
     some = F.array_join(F.slice("segment_ids", 1, 8), ", ")
     where = F.concat(some, F.when(F.size("segment_ids") > 8, ", ...").otherwise(""))
     acted = F.when(F.size("action_tags") > 0, F.concat(F.lit(" Actions observed: "), F.array_join("action_tags", ", "), F.lit("."))).otherwise("")
@@ -199,10 +201,12 @@ def events(scope: DataFrame, target: DataFrame, track: DataFrame, width: float =
 
 
 def neighbors(track: DataFrame) -> DataFrame:
-    """source, target: tracks of one video with different labels that share a segment, each pair once, by order of ids."""
-    seg = track.select("video", "label", "id", F.explode("segment_ids").alias("segment_id"))
-    a, b = (seg.select("video", "segment_id", F.col("label").alias(f"{x}_label"), F.col("id").alias(f"{x}_id")) for x in "ab")
-    return a.join(b, ["video", "segment_id"]).filter("a_label <> b_label and a_id < b_id").select(F.col("a_id").alias("source"), F.col("b_id").alias("target")).distinct()
+    """source, target: tracks of one video with different labels that share a segment, each pair once, in the tracks' order
+    (place, then id)."""
+    seg = track.select("video", "label", "place", "id", F.explode("segment_ids").alias("segment_id"))
+    a, b = (seg.select("video", "segment_id", *[F.col(c).alias(f"{x}_{c}") for c in ("label", "place", "id")]) for x in "ab")
+    first = F.struct("a_place", "a_id") < F.struct(F.col("b_place").alias("a_place"), F.col("b_id").alias("a_id"))
+    return a.join(b, ["video", "segment_id"]).filter((F.col("a_label") != F.col("b_label")) & first).select(F.col("a_id").alias("source"), F.col("b_id").alias("target")).distinct()
 
 
 def relations(scope: DataFrame, target: DataFrame, track: DataFrame, event: DataFrame) -> DataFrame:
