@@ -187,12 +187,6 @@ def box_measures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
-    s = sightings(spark, sf).filter("l_linenumber <= 2").select("video", "label", "start_time", "end_time", F.when(F.col("l_linenumber") == 1, "object").otherwise("track").alias("kind"))
-    out = temporal.sliding_windows(s, size=8.0, stride=4.0)
-    return out.select("video", "start_time", "end_time", "objects", "tracks", F.array_join("labels", ",").alias("labels"))
-
-
-def sliding_windows_all(spark: SparkSession, sf: str) -> DataFrame:
     """Windows over all sightings: odd lines are objects, even lines tracks."""
     s = sightings(spark, sf).withColumn("kind", F.when(F.col("l_linenumber") % 2 == 1, "object").otherwise("track"))
     return temporal.sliding_windows(s, size=8.0, stride=4.0).select("video", "start_time", "end_time", "objects", "tracks", F.array_join("labels", ",").alias("labels"))
@@ -219,14 +213,6 @@ def events_around(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("video", F.col("anchor_id").cast("long").alias("anchor_id"), "id", "bucket")
 
 
-def best_relations(spark: SparkSession, sf: str) -> DataFrame:
-    rel = _relations(spark, sf).filter("relation_type in ('nearest_to', 'left_of')")
-    rel = rel.select("video", (F.col("frame") * 100 + F.col("target_id") * 10 + F.when(F.col("relation_type") == "left_of", 1).otherwise(0)).alias("rid"), "relation_type", F.col("target_id").alias("track_id"), "frame", F.floor(F.col("time") / 500).alias("segment_id"), "time", "related_id")
-    rel = rel.withColumn("relation_id", F.col("rid") * 10 + F.col("related_id"))
-    ev = detections(spark, sf).filter("object_id = 1").select("video", F.col("frame").alias("event_id"), F.col("object_id").alias("track_id"), (F.col("frame") + F.when(F.col("confidence") > 0.5, 0).otherwise(1_000_000)).alias("frame"), F.floor(F.col("time") / 500).alias("segment_id"), "time")
-    return temporal.best_relation(ev, rel, strict=60.0, loose=200.0).drop("relation_type")
-
-
 def best_relations_all(spark: SparkSession, sf: str) -> DataFrame:
     """The best relation, of any type, of every detection. Ids hold frame, objects and type.
 
@@ -353,7 +339,7 @@ def question_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (text_tokens, scope_topk, time_text, video_names, label_histogram, gap_sessions, event_windows, label_neighbors, spatial_relations, top_relations, merged_relations, relation_pair_cap, frame_profiles, region_entries, box_measures, sliding_windows, sliding_windows_all, nearby_events, events_around, best_relations, best_relations_all, segment_marks, change_scores, adaptive_events, view_statistics, text_chunks, kept_graph, query_set_errors, batch_topk, packing_scores, packed_evidence, assigned_tracks, kept_keyframes, scene_index, question_evidence)}
+QUERIES = {f.__name__: f for f in (text_tokens, scope_topk, time_text, video_names, label_histogram, gap_sessions, event_windows, label_neighbors, spatial_relations, top_relations, merged_relations, relation_pair_cap, frame_profiles, region_entries, box_measures, sliding_windows, nearby_events, events_around, best_relations_all, segment_marks, change_scores, adaptive_events, view_statistics, text_chunks, kept_graph, query_set_errors, batch_topk, packing_scores, packed_evidence, assigned_tracks, kept_keyframes, scene_index, question_evidence)}
 
 _ORDERED = ("nearest_to", "close_to", "overlap", "overlap_or_near", "crossing", "same_region", "left_of", "right_of", "in_front_of", "behind", "next_to", "above", "below", "same_frame", "far", "unrelated", "unknown")
 _VALUE = "CASE relation_type " + " ".join(f"WHEN '{k}' THEN {visual.PRIORITY[k]}" for k in _ORDERED) + " ELSE 0 END * 10.0 + 2.5 + 1.0 / (1.0 + distance)"
@@ -407,21 +393,14 @@ SQL = {
         SELECT frame, object_id, round(i / (areas - i), 6) AS iou, round(greatest(0.0, 1 - sqrt(dx * dx + dy * dy) / 160), 6) AS closeness,
                CASE WHEN sqrt(dx * dx + dy * dy) < 12 THEN 'stationary' WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx > 0 THEN 'right' ELSE 'left' END ELSE CASE WHEN dy > 0 THEN 'down' ELSE 'up' END END AS direction,
                sqrt(dx * dx + dy * dy) <= 1.5 * greatest(x2 - x1, y2 - y1, p[3] - p[1], p[4] - p[2], 1.0) AS is_near FROM m""",
-    "sliding_windows": f"""WITH {_SIGHT}, r AS (SELECT * FROM s WHERE l_linenumber <= 2), b AS (SELECT video, min(start_time) AS lo, max(end_time) AS top FROM r GROUP BY video),
+    "sliding_windows": f"""WITH {_SIGHT}, r AS (SELECT * FROM s), b AS (SELECT video, min(start_time) AS lo, max(end_time) AS top FROM r GROUP BY video),
         w AS (SELECT video, lo + k * 4.0 AS start_time, lo + k * 4.0 + 8.0 AS end_time FROM b, LATERAL (SELECT unnest(range(0, CAST(floor((top - lo) / 4.0) AS BIGINT) + 1)) AS k))
-        SELECT w.video, w.start_time, w.end_time, count(*) FILTER (l_linenumber = 1) AS objects, count(*) FILTER (l_linenumber = 2) AS tracks, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
+        SELECT w.video, w.start_time, w.end_time, count(*) FILTER (l_linenumber % 2 = 1) AS objects, count(*) FILTER (l_linenumber % 2 = 0) AS tracks, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
         FROM w JOIN r ON w.video = r.video AND r.start_time < w.end_time AND r.end_time > w.start_time GROUP BY w.video, w.start_time, w.end_time""",
     "nearby_events": f"WITH {_MARKS} SELECT a.video, anchor_id, id, round(abs(a.time - r.time), 3) AS gap FROM a JOIN r ON a.video = r.video AND abs(a.time - r.time) <= 1800",
     "events_around": f"""WITH {_MARKS}, n AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY time, id) AS n FROM r),
         f AS (SELECT a.video, anchor_id, n.n AS f, row_number() OVER (PARTITION BY a.video, anchor_id ORDER BY abs(a.time - n.time), CASE WHEN n.time <= a.time THEN 0 ELSE 1 END, CASE WHEN n.time <= a.time THEN -n.n ELSE n.n END) AS k FROM a JOIN n ON a.video = n.video)
         SELECT f.video, anchor_id, id, CASE WHEN n.n < f THEN 'before' WHEN n.n > f THEN 'after' ELSE 'focal' END AS bucket FROM f JOIN n ON f.video = n.video AND n.n BETWEEN f - 2 AND f + 2 WHERE k = 1""",
-    "best_relations": f"""WITH {_REL}, q AS (SELECT video, frame * 1000 + target_id * 100 + CASE WHEN relation_type = 'left_of' THEN 10 ELSE 0 END + related_id AS relation_id, relation_type, target_id AS track_id, frame, floor(time / 500) AS segment_id, time FROM rel WHERE relation_type IN ('nearest_to', 'left_of')),
-        ev AS (SELECT l_orderkey % 50 AS video, l_orderkey AS event_id, 1 AS track_id, l_orderkey + CASE WHEN l_discount * 10 > 0.5 THEN 0 ELSE 1000000 END AS frame, floor(l_orderkey / 500) AS segment_id, CAST(l_orderkey AS DOUBLE) AS time FROM lineitem WHERE l_linenumber = 1),
-        j AS (SELECT ev.video, event_id, relation_id, relation_type, abs(ev.time - q.time) AS gap,
-                     CASE WHEN ev.frame = q.frame THEN 3 WHEN ev.track_id = q.track_id AND abs(ev.time - q.time) <= 60 THEN 3 WHEN ev.track_id = q.track_id AND abs(ev.time - q.time) <= 200 THEN 2 WHEN ev.segment_id = q.segment_id THEN 1 END AS status
-              FROM ev JOIN q ON ev.video = q.video),
-        k AS (SELECT *, row_number() OVER (PARTITION BY video, event_id ORDER BY status DESC, CASE WHEN relation_type = 'nearest_to' THEN 0.3 ELSE 0.1 END DESC, gap, relation_id) AS n FROM j WHERE status IS NOT NULL)
-        SELECT video, event_id, relation_id, ['same_segment', 'near_time', 'aligned'][status] AS status, gap FROM k WHERE n = 1""",
     "segment_marks": f"""WITH {_MARKS}, g AS (SELECT user_id AS video, printf('%08d', event_id) AS segment_id, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + abs(value) AS t FROM events WHERE event_type = 'click'),
         j AS (SELECT a.video, anchor_id, segment_id, row_number() OVER (PARTITION BY a.video, anchor_id ORDER BY CASE WHEN a.time BETWEEN s AND t THEN 0 ELSE 1 END, CASE WHEN a.time BETWEEN s AND t THEN s ELSE abs(a.time - s) END, CASE WHEN s <= a.time THEN 0 ELSE 1 END, segment_id) AS n FROM a LEFT JOIN g ON a.video = g.video)
         SELECT video, anchor_id, segment_id FROM j WHERE n = 1""",
