@@ -20,15 +20,19 @@ def _hits(array: str, words: frozenset[str]) -> Column:
     return F.arrays_overlap(F.col(array), T.literal(words)) if words else F.lit(False)
 
 
-def score(view: str, words: frozenset[str]) -> Column:
-    """The score of a view's row for the words of a question: overlap of words, and what stands in certain columns."""
+def score(view: str, words: frozenset[str], tokens: str | None = None) -> Column:
+    """The score of a view's row for the words of a question: overlap of words, and what stands in certain columns.
+
+    tokens, where given, is a column that holds the tokens of a target's text.
+    """
     bonus = lambda condition, v: F.when(condition, F.lit(v)).otherwise(0.0)
     joined = lambda *cs: T.tokenize(F.concat_ws(" ", *cs))
     if view == "scope":
         text = F.array_distinct(F.concat("tokens", T.tokenize(F.array_join("scene_tags", " "))))
         return T.overlap_score(words, text) + (bonus(F.trim("transcript") != "", 0.35) if words & SPEECH else F.lit(0.0)) + bonus(_hits("scene_tags", words), 0.25)
     if view == "target":
-        text = joined("label", F.array_join("aliases", " "), "text", F.array_join("attributes", " "))
+        parts = ("label", F.array_join("aliases", " "), F.array_join("attributes", " "))
+        text = F.concat(joined(*parts), F.col(tokens)) if tokens else joined(*parts, "text")
         return T.overlap_score(words, text) + bonus(F.col("label").isin(*words) | _hits("aliases", words), 0.75)
     if view == "track":
         text = joined("label", F.array_join("action_tags", " "), "motion_summary")
@@ -46,8 +50,16 @@ def top(view: str, rows: DataFrame, words: frozenset[str], limit: int, videos: l
     """The best rows of a view: view, id, video, score; ties by id. One ordered limit, so each task sends few rows."""
     if videos is not None:
         rows = rows.filter(F.col("video").isin(videos))
-    found = rows.select(F.lit(view).alias("view"), "id", "video", F.round(score(view, words), 9).alias("score"))
-    return found.filter("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+    return best(view, rows.select("id", "video", scored(view, words)), limit)
+
+
+def scored(view: str, words: frozenset[str], tokens: str | None = None) -> Column:
+    return F.round(score(view, words, tokens), 9).alias("score")
+
+
+def best(view: str, rows: DataFrame, limit: int) -> DataFrame:
+    """top() of rows that have their score."""
+    return rows.filter("score > 0").select(F.lit(view).alias("view"), "id", "video", "score").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def top_for_all(view: str, rows: DataFrame, questions: DataFrame, limit: int) -> DataFrame:

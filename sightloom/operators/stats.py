@@ -13,9 +13,13 @@ def label_counts(rows: DataFrame, col: str, order: str) -> DataFrame:
     return rows.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first")
 
 
-def view_stats(rows: DataFrame, *, text: str | None = None, count_cols: tuple[str, ...] = ()) -> DataFrame:
-    """One row: row_count, mean tokens, mean duration, and counts of the values of count_cols as maps."""
-    tokens = F.avg(F.size(T.tokenize(F.col(text)))) if text else F.lit(None).cast("double")
+def view_stats(rows: DataFrame, *, text: str | None = None, tokens: str | None = None, count_cols: tuple[str, ...] = ()) -> DataFrame:
+    """One row: row_count, mean tokens, mean duration, and counts of the values of count_cols as maps.
+
+    tokens, where given, is a column that holds the number of tokens of each text.
+    """
+    n = F.col(tokens) if tokens else F.size(T.tokenize(F.col(text))) if text else F.lit(None)
+    tokens = F.avg(n.cast("double"))
     span = F.avg(F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time"))) if {"start_time", "end_time"} <= set(rows.columns) else F.lit(None).cast("double")
     out = rows.agg(F.count("*").alias("row_count"), F.coalesce(tokens, F.lit(0.0)).alias("avg_text_tokens"), F.coalesce(span, F.lit(0.0)).alias("avg_duration"))
     for c in count_cols:

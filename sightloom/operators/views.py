@@ -117,15 +117,32 @@ def attributes(mentions: DataFrame) -> DataFrame:
     return rows.withColumn("a", name).filter("a is not null").groupBy("segment_id", "label").agg(F.array_sort(F.collect_set("a")).alias("attributes"))
 
 
+def mentions(scope: DataFrame, most: int = 8) -> DataFrame:
+    """text and items (ordinal, label, count, attributes) of every different text with any label.
+
+    All of these follow from the text alone, so that segments with one text share the work.
+    """
+    text = F.col("text")
+    rows = scope.select("text").distinct().select(F.lit("").alias("video"), text.alias("segment_id"), "text", T.tokenize(text).alias("tokens"), T.scene_tags(text).alias("scene_tags")).persist()
+    labels = target_labels(rows, most).join(rows.select("segment_id", "text", "tokens"), "segment_id")
+    labels = labels.join(attributes(labels), ["segment_id", "label"], "left").withColumn("attributes", F.coalesce("attributes", F.array().cast("array<string>")))
+    return labels.groupBy(F.col("segment_id").alias("text")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "label", "count", "attributes"))).alias("items"))
+
+
 def targets(scope: DataFrame, most: int = 8) -> DataFrame:
-    """One row per object mention, with its attributes, confidence and text."""
-    rows = target_labels(scope, most).join(scope.select("segment_id", "text", "tokens", "caption", "start_time", "end_time", "ord"), "segment_id")
-    rows = rows.join(attributes(rows), ["segment_id", "label"], "left").withColumn("attributes", F.coalesce("attributes", F.array().cast("array<string>")))
+    """One row per object mention, with its attributes, confidence, text and that text's tokens (in any order)."""
+    # What follows from text and caption is made once for all segments that have both; tokens is all but the segment's id.
+    listed = lambda x: F.when(F.size(x["attributes"]) > 0, F.concat(F.lit(" attributes="), F.array_join(x["attributes"], ", "))).otherwise("")
+    said = lambda x: T.tokenize(F.concat(F.lit("Object evidence: "), x["label"], F.lit(" appears in segment"), listed(x), F.lit(" Caption: "), T.shorten(F.col("caption"), 360)))
+    found = scope.select("text", "caption").distinct().join(mentions(scope, most), "text").withColumn("items", F.transform("items", lambda x: x.withField("words", said(x)))).persist()
+    rows = scope.select("video", "segment_id", "text", "caption", "start_time", "end_time", "ord").join(found, ["text", "caption"])
+    rows = rows.select("video", "segment_id", "caption", "start_time", "end_time", "ord", T.tokenize(F.col("segment_id")).alias("own"), "items")
+    rows = rows.select("video", "segment_id", "caption", "start_time", "end_time", "ord", "own", F.inline("items"))
     tail = F.concat_ws(":", "segment_id", F.regexp_replace("label", " ", "_"), "ordinal")
     attrs = F.when(F.size("attributes") > 0, F.concat(F.lit(" attributes="), F.array_join("attributes", ", "), F.lit("."))).otherwise("")
     said = F.concat(F.lit("Object evidence: "), F.col("label"), F.lit(" appears in segment "), F.col("segment_id"), F.lit(" ("), T.format_seconds(F.col("start_time")), F.lit("-"), T.format_seconds(F.col("end_time")), F.lit(")."), attrs, F.lit(" Caption: "), T.shorten(F.col("caption"), 360))
     aliases = F.create_map(*[x for k, v in L.OBJECT_ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return rows.select(F.concat(F.lit("target:"), tail).alias("id"), F.concat(F.lit("object:"), tail).alias("node_id"), "video", "segment_id", "ord", "label", "ordinal", F.coalesce(aliases[F.col("label")], F.array("label")).alias("aliases"), "attributes", F.least(F.lit(0.95), 0.55 + 0.1 * F.col("count")).alias("confidence"), said.alias("text"), "start_time", "end_time")
+    return rows.select(F.concat(F.lit("target:"), tail).alias("id"), F.concat(F.lit("object:"), tail).alias("node_id"), "video", "segment_id", "ord", "label", "ordinal", F.coalesce(aliases[F.col("label")], F.array("label")).alias("aliases"), "attributes", F.least(F.lit(0.95), 0.55 + 0.1 * F.col("count")).alias("confidence"), said.alias("text"), "start_time", "end_time", F.concat("words", "own").alias("tokens"))
 
 
 def sessions(rows: DataFrame, keys: list[str], order: list[str], gap: float = L.TRACK_GAP) -> DataFrame:
@@ -143,11 +160,13 @@ def tracks(target: DataFrame, scope: DataFrame, gap: float = L.TRACK_GAP) -> Dat
     """Runs of mentions of one movable label in a video, cut at gaps, with what their texts say of motion."""
     rows = target.filter(T.normalize_label(F.col("label")).isin(*sorted(L.MOVABLE))).select("video", "label", "node_id", "segment_id", "ord", "ordinal", "start_time", "end_time")
     rows = sessions(rows, ["video", "label"], ["ord", "ordinal"], gap).join(scope.select("segment_id", F.col("text").alias("t")), "segment_id")
-    item = F.struct(F.coalesce("start_time", F.lit(1e12)).alias("at"), "ord", "ordinal", "node_id", "segment_id", "start_time", "end_time", "t")
-    rows = rows.groupBy("video", "label", "session").agg(F.array_sort(F.collect_list(item)).alias("items"), F.min(F.struct("ord", "ordinal")).alias("place"))
+    at = F.coalesce("start_time", F.lit(1e12)).alias("at")
+    item, said = F.struct(at, "ord", "ordinal", "node_id", "segment_id", "start_time", "end_time"), F.struct(at, "ord", "ordinal", "node_id", "segment_id", "t")
+    # Texts stand apart, so that they do not move where only ids are asked for.
+    rows = rows.groupBy("video", "label", "session").agg(F.array_sort(F.collect_list(item)).alias("items"), F.array_sort(F.collect_list(said)).alias("told"), F.min(F.struct("ord", "ordinal")).alias("place"))
     # Tracks of a video stand in the order in which their labels come up first.
     rows = rows.withColumn("place", F.min("place").over(Window.partitionBy("video", "label")))
-    evidence = F.array_join(F.array_distinct(F.transform("items", lambda x: F.concat_ws("\x00", x["segment_id"], x["t"]))), "\x01")
+    evidence = F.array_join(F.array_distinct(F.transform("told", lambda x: F.concat_ws("\x00", x["segment_id"], x["t"]))), "\x01")
     texts = F.array_join(F.transform(F.split(evidence, "\x01"), lambda x: F.element_at(F.split(x, "\x00", 2), 2)), " ")
     rows = rows.withColumns({"object_ids": F.transform("items", lambda x: x["node_id"]), "segment_ids": F.array_distinct(F.transform("items", lambda x: x["segment_id"])), "said": texts})
     actions = T.action_tags(T.tokenize(F.col("said")))
@@ -170,8 +189,8 @@ def windows(scope: DataFrame, width: float = L.EVENT_WINDOW) -> DataFrame:
 def events(scope: DataFrame, target: DataFrame, track: DataFrame, width: float = L.EVENT_WINDOW) -> DataFrame:
     """Tumbling windows of a video with their state: tags, label counts, actions, related ids and neighbours in time."""
     seg = windows(scope, width)
-    item = F.struct("place", "segment_id", "start_time", "end_time", "text", "caption", "scene_tags", "transcript")
-    base = seg.groupBy("video", "window").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    item, said = F.struct("place", "segment_id", "start_time", "end_time"), F.struct("place", "text", "caption", "scene_tags", "transcript")
+    base = seg.groupBy("video", "window").agg(F.array_sort(F.collect_list(item)).alias("xs"), F.array_sort(F.collect_list(said)).alias("told"))
     where = seg.select("segment_id", "window", "place")
     seen = target.join(where, "segment_id")
     by_label = seen.groupBy("video", "window", "label").agg(F.count("*").alias("n"), F.min(F.struct("place", "ordinal")).alias("first"))
@@ -182,8 +201,8 @@ def events(scope: DataFrame, target: DataFrame, track: DataFrame, width: float =
     e = base.join(counts, ["video", "window"], "left").join(objects, ["video", "window"], "left").join(along, ["video", "window"], "left")
     empty = F.expr("cast(array() as array<struct<label:string,n:int>>)")
     none = F.array().cast("array<string>")
-    text = F.array_join(F.transform("xs", lambda x: x["text"]), " ")
-    e = e.withColumns({"object_counts": F.coalesce("object_counts", empty), "scene_tags": F.array_sort(F.array_distinct(F.flatten(F.transform("xs", lambda x: x["scene_tags"])))), "action_tags": T.action_tags(T.tokenize(text))})
+    text = F.array_join(F.transform("told", lambda x: x["text"]), " ")
+    e = e.withColumns({"object_counts": F.coalesce("object_counts", empty), "scene_tags": F.array_sort(F.array_distinct(F.flatten(F.transform("told", lambda x: x["scene_tags"])))), "action_tags": T.action_tags(T.tokenize(text))})
     calm, talks = T.literal({"stop", "slow", "wait", "change"}), T.literal({"talk", "speak", "discuss", "present"})
     kind = (
         F.when(F.array_contains("scene_tags", "traffic"), F.when(F.arrays_overlap("action_tags", calm), "traffic_state_change").otherwise("traffic_activity"))
@@ -194,10 +213,10 @@ def events(scope: DataFrame, target: DataFrame, track: DataFrame, width: float =
     or_ = lambda c, other: F.when(c != "", c).otherwise(other)
     e = e.withColumns({"id": F.concat_ws(":", F.lit("event"), "video", "window"), "start_time": F.element_at("xs", 1)["start_time"], "end_time": F.element_at("xs", -1)["end_time"], "event_type": kind})
     listed = F.array_join(F.transform(F.slice("object_counts", 1, 8), lambda x: F.concat_ws("=", x["label"], x["n"])), ", ")
-    sample = F.array_join(F.transform(F.slice("xs", 1, 2), lambda x: T.shorten(x["caption"], 180)), " ")
+    sample = F.array_join(F.transform(F.slice("told", 1, 2), lambda x: T.shorten(x["caption"], 180)), " ")
     summary = F.trim(F.concat(F.lit("Event window in "), F.col("video"), F.lit(" from "), T.format_seconds(F.col("start_time")), F.lit(" to "), T.format_seconds(F.col("end_time")), F.lit(". Scene tags: "), or_(F.array_join("scene_tags", ", "), "unspecified scene"), F.lit(". Object evidence: "), or_(listed, "no explicit targets"), F.lit(". Action tags: "), or_(F.array_join("action_tags", ", "), "no explicit action tags"), F.lit(". Representative visual evidence: "), sample))
     w = Window.partitionBy("video").orderBy("window")
-    return e.select("id", "video", "window", "start_time", "end_time", "event_type", "scene_tags", "object_counts", "action_tags", F.size("xs").alias("segment_count"), F.exists("xs", lambda x: F.trim(x["transcript"]) != "").alias("transcript_present"), F.transform("xs", lambda x: x["segment_id"]).alias("related_segment_ids"), F.coalesce("related_object_ids", none).alias("related_object_ids"), F.coalesce("related_track_ids", none).alias("related_track_ids"), F.lag("id").over(w).alias("previous_event_id"), F.lead("id").over(w).alias("next_event_id"), summary.alias("summary"))
+    return e.select("id", "video", "window", "start_time", "end_time", "event_type", "scene_tags", "object_counts", "action_tags", F.size("xs").alias("segment_count"), F.exists("told", lambda x: F.trim(x["transcript"]) != "").alias("transcript_present"), F.transform("xs", lambda x: x["segment_id"]).alias("related_segment_ids"), F.coalesce("related_object_ids", none).alias("related_object_ids"), F.coalesce("related_track_ids", none).alias("related_track_ids"), F.lag("id").over(w).alias("previous_event_id"), F.lead("id").over(w).alias("next_event_id"), summary.alias("summary"))
 
 
 def neighbors(track: DataFrame) -> DataFrame:

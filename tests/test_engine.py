@@ -221,3 +221,16 @@ def test_many_questions_rank_as_one(spark):
     for q, words in asked.items():
         one = [(x.id, x.score) for x in retrieval.top("scope", df, frozenset(words), 6).collect()]
         assert one and [(x.id, x.score) for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == q] == one
+
+
+def test_targets_of_segments_with_one_text(spark):
+    """Segments that share a text share its mentions' work; tokens are those of each target's own text."""
+    segments = [*DEMO, ("other-car_video", "007", "5-10", DEMO[0][3], ""), ("third", "1", "0-5", DEMO[0][3], "")]
+    s = views.scopes(spark.createDataFrame(segments, SEGMENT))
+    assert views.mentions(s).count() == 2
+    rows = views.targets(s).withColumn("want", T.tokenize(F.col("text"))).collect()
+    assert len(rows) == 12 and all(sorted(r.tokens) == sorted(r.want) for r in rows)
+    assert "other-car_video_007" in {w for r in rows for w in r.tokens}
+    words = frozenset({"car", "light", "other-car_video_007"})
+    both = views.targets(s).select(retrieval.scored("target", words).alias("a"), retrieval.scored("target", words, "tokens").alias("b")).collect()
+    assert len(both) == 12 and all(r.a == r.b for r in both)
