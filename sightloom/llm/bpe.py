@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightloom.llm.common import sha256_hex
+from sightloom.llm.common import sha256_hex, slices, take_over
 
 #: Characters with the property White_Space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -165,13 +165,21 @@ _loaded: dict[int, Bpe] = {}
 
 def _tool(source: object) -> Bpe:
     """The Bpe of a broadcast file, one for each Python worker."""
+    take_over("bpe", _release)
     key = source.id if hasattr(source, "id") else id(source)
     if key not in _loaded:
-        _loaded.clear()
+        _release()
         _loaded[key] = Bpe(source.value)
     return _loaded[key]
 
 
+def _release() -> None:
+    for tool in _loaded.values():
+        # Tables of words refer to their Bpe, and would stay with it until the next collection of old objects.
+        del tool.words, tool.tokens
+    _loaded.clear()
+
+
 def tokenizer_source(spark: SparkSession, path: str):
     """The tokenizer file at path, broadcast as text."""
     with open(path, encoding="utf-8") as f:
@@ -196,11 +204,14 @@ def decode(source, ids: Column) -> Column:
 
     def text_of(lists: pa.Array) -> pa.Array:
         tool = _tool(source)
-        ends = np.zeros(len(lists) + 1, dtype=np.int64)
-        np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=ends[1:])
-        # All of a batch's ids at once: looked up, and put together list by list.
-        found = pa.LargeListArray.from_arrays(pa.array(ends), tool.table.take(lists.flatten()))
-        return pc.binary_join(found, pa.scalar(" ", pa.large_string())).cast(pa.string())
+        texts = [pa.array([], pa.string())]
+        for some in slices(lists):
+            ends = np.zeros(len(some) + 1, dtype=np.int64)
+            np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False), out=ends[1:])
+            # All of a slice's ids at once: looked up, and put together list by list.
+            found = pa.LargeListArray.from_arrays(pa.array(ends), tool.table.take(some.flatten()))
+            texts.append(pc.binary_join(found, pa.scalar(" ", pa.large_string())).cast(pa.string()))
+        return pa.concat_arrays(texts)
 
     return F.arrow_udf(text_of, "string")(ids)
 

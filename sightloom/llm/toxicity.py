@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightloom.llm.common import whole
+from sightloom.llm.common import slices, take_over, whole
 
 TRAIN_ROWS = 20_000
 LEAST, MOST = 4, 10
@@ -222,16 +222,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return model
 
 
+def _nothing() -> None:
+    """A model's words go with its task."""
+
+
 def _features(model: Model):
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([list(model.features(t or "").items()) for t in texts.to_pylist()], pa.map_(pa.int32(), pa.float64()))
+        take_over("toxicity", _nothing)
+        return pa.array([list(model.features(t or "").items()) for some in slices(texts) for t in some.to_pylist()], pa.map_(pa.int32(), pa.float64()))
 
     return F.arrow_udf(of, "map<int,double>")
 
 
 def score(model: Model, text: Column) -> Column:
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t or "") for t in texts.to_pylist()], pa.float64())
+        take_over("toxicity", _nothing)
+        return pa.array([model.score(t or "") for some in slices(texts) for t in some.to_pylist()], pa.float64())
 
     return F.arrow_udf(of, "double")(text)
 

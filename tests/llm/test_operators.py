@@ -6,14 +6,16 @@ import json
 import random
 import re
 import time
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sightloom.llm import bpe, chat_format, exact_dedup, jaccard, mixing, pii, quality, suffix_dedup, toxicity, warc
-from sightloom.llm.common import tokenizer_path
+from sightloom.llm.common import SLICE, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, size long, cut string, rid long, hi string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau ypsilon".split()
@@ -211,6 +213,43 @@ def test_bpe_cache_generations():
     assert made == ["a", "b", "c"]
 
 
+def test_bpe_decodes_in_slices(spark):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        tool = bpe.Bpe(f.read())
+    rows = [(i, None if i % 7 == 0 else " ".join(WORDS[: i % 6])) for i in range(2 * SLICE + 3)]
+    got = {x.doc_id: x for x in bpe.round_trip(frame(spark, rows).coalesce(1), tokenizer_path()).collect()}
+    for i, t in rows:
+        assert got[i].decoded_sha256 == hashlib.sha256(tool.decode(tool.encode(t or "").tolist()).encode()).hexdigest()
+
+
+# --- shared Python workers
+def test_operators_release_what_others_keep():
+    class Source:
+        id = -1
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        Source.value = f.read()
+    tool = weakref.ref(bpe._tool(Source))
+    tool().encode(" ".join(WORDS))
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": " ".join(WORDS)}])
+    (out,) = jaccard._profiles(iter([batch]))
+    assert out.column("n").to_pylist() == [len(WORDS) - jaccard.SHINGLE + 1]
+    assert tool() is None and not bpe._loaded and not jaccard._words
+    # Another file of the same operator takes the place of the one before.
+    tool, Source.id = weakref.ref(bpe._tool(Source)), -2
+    assert bpe._tool(Source).encode("alpha").size and tool() is None and len(bpe._loaded) == 1
+
+
+def test_sets_come_in_slices():
+    rows = [f"{i} " + " ".join(WORDS[: 4 + i % 9]) for i in range(2 * SLICE + 3)]
+    sids = jaccard._fingerprints([jaccard.tokens(t) for t in rows])[0]
+    batch = pa.RecordBatch.from_arrays([pa.array(sids), pa.array(rows)], ["sid", "text"])
+    out = list(jaccard._sets(iter([batch, batch.slice(0, 1), batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= SLICE
+    assert [x for b in out for x in b.column("sid").to_pylist()] == [*sids.tolist(), sids[0]]
+    assert [np.array(x).view(np.uint64).tolist() for b in out for x in b.column("toks").to_pylist()] == [jaccard.tokens(t).tolist() for t in [*rows, rows[0]]]
+
+
 # --- 8
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
